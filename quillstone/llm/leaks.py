@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are normalised to lower-case words of letters and digits, joined by single
-spaces. An item of n characters may be matched with up to e = floor(n / 12) edits. It is split
+spaces. An item of n characters may be matched with up to e = floor(n / 16) edits. It is split
 into e + 1 pieces: whatever e edits do, one piece stays whole, so the exact hits of all pieces
 (one Aho-Corasick pass over a document) hold every occurrence. The part of the document around a
 hit, as long as the item and e characters on either side, is verified by Myers's bit-parallel
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import map_arrow
 
-ERRORS = 12
+ERRORS = 16
 MIN_CHARS = 40
 #: UTF-8 bytes of items in a block.
 BLOCK_BYTES = 2_000_000

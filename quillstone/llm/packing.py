@@ -6,8 +6,9 @@ takes a piece is the lowest set bit at or above its length. At most a fixed numb
 open: when a new one is needed beyond that, the fullest open bin closes. Every task packs its own
 share of the pieces, dealt by hash, so memory is bounded by the open bins.
 
-Ids: white space cuts a text into chunks that the tokenizer treats independently; ids of chunks
-are kept as bytes in a bounded cache and joined.
+Ids: the tokenizer treats the chunks between white space, and the words and signs of a chunk,
+independently, so ids of chunks and words are kept as bytes in bounded tables and joined; new
+words of a batch are tokenized in one call.
 
 Edge cases: a null or empty text is one piece holding only the end id; repeated rows are packed
 as rows of their own; an empty table gives no rows; other columns are ignored.
@@ -15,10 +16,14 @@ as rows of their own; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 import zlib
+from array import array
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +33,14 @@ from quillstone.llm.common import map_arrow
 CAPACITY = 2048
 OPEN_BINS = 4096
 END = (0).to_bytes(4, "little")
-#: Chunks kept by a worker, and the longest of them in characters.
-CACHE, LONGEST = 300_000, 40
+#: Chunks and words kept by a worker; later ones are tokenized again whenever they come.
+CHUNKS, WORDS = 400_000, 600_000
 #: Documents whose pieces one packing task gets, about.
 SHARE = 50_000
-#: Characters that Python takes for white space and the tokenizer does not.
-ODD = re.compile("[\x1c-\x1f]")
+#: The tokenizer's own cut of a chunk of normalised text.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Python takes \x1c to \x1f for white space, lower-cases a final sigma by its place, and knows no added tokens: such texts go to the tokenizer whole.
+ODD = re.compile("[\x1c-\x1f\u03a3]|<\\|")
 
 
 class Ids:
@@ -42,26 +49,62 @@ class Ids:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in found]
-
-    def of(self, text: str) -> bytes:
-        if ODD.search(text):
-            return self.encode([text])[0]
-        chunks = text.split()
-        parts = list(map(self.cache.get, chunks))
-        if None in parts:
-            missing = list(dict.fromkeys(c for c, p in zip(chunks, parts, strict=True) if p is None))
-            new = dict(zip(missing, self.encode(missing), strict=True))
-            parts = [new[c] if p is None else p for c, p in zip(chunks, parts, strict=True)]
-            if len(self.cache) + len(new) > CACHE:
-                self.cache.clear()
-            self.cache.update((c, p) for c, p in new.items() if len(c) <= LONGEST)
-        return b"".join(parts)
+        self.ends = {i.to_bytes(4, "little") for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters: one pass over all of them, cut after each token that ends a word."""
+        out, held, at = {}, [], 0
+        got = self.whole(" ".join(words))
+        for k in range(0, len(got), 4):
+            token = got[k : k + 4]
+            held.append(token)
+            if token in self.ends:
+                out[words[at]] = b"".join(held)
+                held, at = [], at + 1
+        if at != len(words) or held:
+            return {w: self.whole(w) for w in words}
+        return out
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        parts: dict[str, list[str]] = {}
+        for c in chunks:
+            body, sign = (c, "") if c[-1] not in ".," else (c[:-1], c[-1])
+            word = (body if body.isascii() else unicodedata.normalize("NFC", body)).lower()
+            if word.isalpha():
+                parts[c] = [word, sign] if sign else [word]
+            else:
+                parts[c] = PARTS.findall(unicodedata.normalize("NFC", c).lower())
+        known = self.words
+        new = {p for x in parts.values() for p in x if p not in known}
+        plain = [w for w in new if w.isalpha()]
+        found = self.learn_words(plain) if plain else {}
+        for w in new:
+            if w not in found:
+                found[w] = self.whole(w)
+        if len(known) < WORDS:
+            known.update(found)
+            found = known
+        else:
+            found = {**{p: known[p] for x in parts.values() for p in x if p in known}, **found}
+        return {c: found[x[0]] if len(x) == 1 else b"".join([found[p] for p in x]) for c, x in parts.items()}
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        split = [None if ODD.search(t) else t.split() for t in texts]
+        known = self.chunks
+        new = self.learn({c for x in split if x for c in x if c not in known})
+        if len(known) < CHUNKS:
+            known.update(new)
+            get = known.__getitem__
+        else:
+            get = lambda c: known[c] if c in known else new[c]
+        return [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
 
 
 class Packer:
@@ -108,8 +151,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
         def work(batch: pa.RecordBatch):
             keys, rows = batch.column(0), []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                got = memoryview(ids.of(text or "") + END)
+            for k, found in enumerate(ids.of([t or "" for t in batch.column(1).to_pylist()])):
+                got = memoryview(found + END)
                 n = len(got) // 4
                 rows += [(k, p, s, min(capacity, n - s), zlib.crc32(got[4 * s : 4 * (s + capacity)])) for p, s in enumerate(range(0, n, capacity))]
             at, piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 5
