@@ -61,6 +61,10 @@ class Rule:
     num: int = 85
     den: int = 100
 
+    def __post_init__(self):
+        if not 4 * self.den <= 5 * self.num <= 5 * self.den:
+            raise ValueError("neighbouring frequent tokens are sure to be shared from a likeness of 0.8")
+
     def missing(self, n: int) -> int:
         return n - -(-n * self.num // self.den)
 
