@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import fingerprints, jaccard, leaks, licences, packing, pseudonyms, resampling, sharding
+from quillstone.llm import fingerprints, jaccard, leaks, licences, packing, pseudonyms, repeats, resampling, sharding
 from quillstone.llm.common import table
 
 SHARDS = 8
@@ -56,6 +56,10 @@ def op7_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"), length=400).drop("spans", "kept")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Rule(k=4, num=85, den=100))
 
