@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import fingerprints, jaccard, leaks, licences, packing, pseudonyms, repeats, resampling, sharding
+from quillstone.llm import fingerprints, jaccard, leaks, licences, packing, passages, pseudonyms, repeats, resampling, sharding
 from quillstone.llm.common import table
 
 SHARDS = 8
@@ -64,5 +64,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Rule(k=4, num=85, den=100))
 
 
+def op10_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
