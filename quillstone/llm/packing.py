@@ -21,6 +21,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -34,7 +35,7 @@ CAPACITY = 2048
 OPEN_BINS = 4096
 END = (0).to_bytes(4, "little")
 #: Chunks and words kept by a worker; later ones are tokenized again whenever they come.
-CHUNKS, WORDS = 400_000, 600_000
+CHUNKS, WORDS = 900_000, 900_000
 #: Documents whose pieces one packing task gets, about.
 SHARE = 50_000
 #: The tokenizer's own cut of a chunk of normalised text.
@@ -107,6 +108,12 @@ class Ids:
         return [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
 
 
+@lru_cache(1)
+def held_ids(path: str) -> Ids:
+    """One table for all tasks of a worker."""
+    return Ids(path)
+
+
 class Packer:
     """Online best-fit with at most `space` open bins."""
 
@@ -147,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """doc_id, piece, start, length, ids_crc32: every document, cut only if longer than capacity."""
 
     def make():
-        ids = Ids(tokenizer)
+        ids = held_ids(tokenizer)
 
         def work(batch: pa.RecordBatch):
             keys, rows = batch.column(0), []
