@@ -3,9 +3,10 @@
 A text's tokens are its distinct k-word shingles, hashed. Two texts link when the shingles they
 share are at least num / den of those that either has. Texts of equal sets are one node.
 
-Tokens are ordered rare ones first (each class by hash). A token is frequent if it is in the
-table of the FREQUENT most common ones; the table only steers the order, any table gives the same
-links. With n tokens a node may miss at most d = n - ceil(n num / den) of them, and node and
+Tokens are ordered rare ones first (each class by hash). A token is rare if its hash is below
+COUNTED and it is not in the table of the FREQUENT most common of these; all documents' tokens
+below COUNTED are counted. All others are frequent. The table only steers the order: any table
+gives the same links. With n tokens a node may miss at most d = n - ceil(n num / den) of them, and node and
 partner together at most D = floor(n (den - num) / num). So if it has more than d rare tokens,
 its first d + 1 hold one that is shared. If it has only r, and none is shared, the rest of both
 has at most D - r that are not shared; among its first 2 (D - r) + 2 frequent tokens, fewer than
@@ -41,14 +42,16 @@ from quillstone.llm.components import connected
 from quillstone.llm.shingles import mix, shingle_set
 
 #: Tokens in the table of frequent ones (8 bytes each), and in how many documents they must be.
-FREQUENT, LEAST_FREQUENT = 1 << 18, 24
-#: Tokens that a task counts at once, and how often one must come there to be reported.
-WINDOW, LOCAL = 4_000_000, 3
+FREQUENT, LEAST_FREQUENT = 1 << 20, 12
+#: Hashes below this are counted: enough to fill the prefix of a text that has as many frequent tokens as rare ones.
+COUNTED = np.uint64(3 << 60)
+#: Tokens that a task adds up before it hands them on.
+WINDOW = 4_000_000
 #: Bits of the parity bitmap, kept as longs.
 PARITY = 512
 #: Bits of the filter that spares texts in no pair the shuffle.
 BLOOM = 1 << 22
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: Names a row of documents, whatever its id.
 ROW = "xxhash64(doc_id, text)"
 
@@ -79,7 +82,9 @@ def signatures(tokens: np.ndarray, rule: Rule, frequent: np.ndarray) -> np.ndarr
     if not n or not both:
         return np.empty(0, np.uint64)
     at = np.searchsorted(frequent, tokens)
-    common = frequent[np.minimum(at, len(frequent) - 1)] == tokens if len(frequent) else np.zeros(n, bool)
+    common = tokens >= COUNTED
+    if len(frequent):
+        common |= frequent[np.minimum(at, len(frequent) - 1)] == tokens
     rare = tokens[~common]
     if len(rare) >= one:
         return rare[:one]
@@ -94,21 +99,20 @@ def parity(tokens: np.ndarray) -> np.ndarray:
 
 
 def count_frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """The FREQUENT tokens that most documents hold, of those that are common somewhere, sorted."""
+    """The FREQUENT tokens that most documents hold, of those counted, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
         def common() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 s = shingle_set(text, k)
-                held.append(s)
-                total += len(s)
+                held.append(s[: np.searchsorted(s, COUNTED)])
+                total += len(held[-1])
                 if total >= WINDOW:
                     yield common()
                     held, total = [], 0
@@ -116,7 +120,7 @@ def count_frequent(docs: DataFrame, k: int) -> np.ndarray:
             yield common()
 
     small_batches(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
+    counts = docs.select("text").mapInArrow(run, "token bigint, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
     return np.sort(top.view(np.uint64))
 
@@ -223,9 +227,9 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of each document, and (node, component) of the nodes that have partners."""
     rows = cut(sketch(docs, rule, count_frequent(docs, rule.k)))
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("parity").alias("parity")))
-    held = rows.select("node", "n", F.explode("sigs").alias("sig"))
+    held = rows.select("node", F.explode("sigs").alias("sig"))
     several = held.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
-    held = cut(held.join(several, "sig").distinct())
+    held = cut(held.join(several, "sig").distinct().join(nodes.select("node", "n"), "node"))
     component = None
     links = None
     tried = None
@@ -236,7 +240,10 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
             now = cut(now.join(open_, "sig"))
         if turn < STAR_ROUNDS:
             hub = now.groupBy("sig").agg(F.min_by(F.struct("node", "c", "n"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("hub"))
-            pairs = now.join(hub, "sig").where((F.col("c") != F.col("hub.c")) & _fits(rule, "n", "hub.n")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            pairs = now.join(hub, "sig").where((F.col("c") != F.col("hub.c")) & _fits(rule, "n", "hub.n")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
+            # one hub for each node, the one it shares most with: rounds only spare the comparison of all
+            best = pairs.groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+            pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
             other = now.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
             pairs = now.join(other, "sig").where((F.col("c") < F.col("c2")) & _fits(rule, "n", "n2")).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()

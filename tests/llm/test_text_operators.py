@@ -293,7 +293,7 @@ def test_jaccard_against_brute_force(spark, docs, texts, none):
 
 def test_frequent_tokens_are_paired_and_links_stay(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAST_FREQUENT", 3)
-    monkeypatch.setattr(jaccard, "LOCAL", 1)
+    monkeypatch.setattr(jaccard, "COUNTED", np.uint64(2**64 - 1))
     more = [*variants(31, 50), *variants(32, 50)]
     df = spark.createDataFrame(rows(more), docs.schema)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(df).collect())
