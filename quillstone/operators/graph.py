@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the folder that driver and executors share and read back; a temporary one only where none is set."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillstone.sources.scratch import cut
 
 
 def closure(roots: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(root, node, hops): nodes reached from roots (root, node) along edges (src, dst), with the least hops; roots are at 0. Cycles end it."""
-    edges = _cut(edges.select("src", "dst").distinct())
-    frontier = _cut(roots.select("root", "node").distinct().withColumn("hops", F.lit(0)))
+    edges = cut(edges.select("src", "dst").distinct())
+    frontier = cut(roots.select("root", "node").distinct().withColumn("hops", F.lit(0)))
     seen, hops = frontier, 0
     while max_hops is None or hops < max_hops:
         hops += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hops)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
