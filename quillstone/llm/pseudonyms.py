@@ -8,8 +8,8 @@ the domain (numbers that leave it walk on until they are back in), and the resul
 the same layout. The permutation of a format is one-to-one, so equal values stay equal in all
 documents, however they are spaced, and different ones stay different.
 
-Edge cases: a null text stays null; texts are read whole; a value that maps to itself walks on
-once more; repeated rows give repeated results; an empty table gives no rows; columns other than
+Edge cases: a null text stays null; texts are read whole; a one-to-one map may leave one value of
+a format's whole domain as it is; repeated rows give repeated results; an empty table gives no rows; columns other than
 the text pass unread.
 """
 
@@ -47,7 +47,7 @@ class Feistel:
         return int.from_bytes(out[:need], "big") % below
 
     def permute(self, value: int, n: int, tweak: str) -> int:
-        """The image of value; never value itself if n > 1."""
+        """The image of value under a one-to-one map; by chance, one value in n, it may be value itself."""
         if n < 2:
             return value
         a = math.isqrt(n - 1) + 1
@@ -58,7 +58,7 @@ class Feistel:
             for r in range(ROUNDS):
                 left, right = right, (left + self._round(t, r, right, a)) % a
             out = left * a + right
-            if out < n and out != value:
+            if out < n:
                 return out
 
     def characters(self, text: str, alphabets: list[str], tweak: str) -> str:
@@ -118,7 +118,7 @@ def ssn(f: Feistel, text: str) -> str | None:
     while True:
         d = f.characters(only_digits(out), [DIGITS] * 9, "ssn")
         out = f"{d[:3]}-{d[3:5]}-{d[5:]}"
-        if valid(d[:3], d[3:5], d[5:]) and out != text:
+        if valid(d[:3], d[3:5], d[5:]):
             return out
 
 

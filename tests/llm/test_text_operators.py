@@ -91,9 +91,8 @@ def test_pseudonyms(docs, texts, none):
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"k")
     for n in (2, 3, 10, 97, 1000):
-        assert sorted(f.permute(x, n, "t") for x in range(n)) == list(range(n)) or all(f.permute(x, n, "t") != x for x in range(n))
-    values = {f.permute(x, 5000, "t") for x in range(5000)}
-    assert len(values) >= 4998
+        assert sorted(f.permute(x, n, "t") for x in range(n)) == list(range(n))
+    assert [f.permute(x, 97, "t") for x in range(97)] != [f.permute(x, 97, "u") for x in range(97)]
 
 
 def test_shards_are_balanced_gapless_and_move_only_into_the_new_one(spark):
