@@ -6,7 +6,7 @@ so a text's places are cut into segments of starts that share one minimizer occu
 segments of equal minimizers can hold equal strings. Segments are counted by the hash of their
 content: minimizers that occur once are done with, and a content that occurs twice is repeated
 throughout. What is left are different contents of one minimizer. They are dealt to shards by
-minimizer, and the contents of a minimizer are joined and their suffixes sorted by external induced
+minimizer, and a shard's contents are joined and their suffixes sorted by external induced
 sorting (suffixes.py); neighbouring suffixes that agree over the length wanted mark their starts.
 Agreement is read off the contents as suffixes leave the sort, rather than carried through it: it
 is needed only where two starts are neighbours, and costs one comparison there.
@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import cut, map_arrow, partitions
 from quillstone.llm.jaccard import ROW, texts_of
 from quillstone.llm.shingles import BASE, INVERSE, mix, powers
-from quillstone.llm.suffixes import suffix_array
+from quillstone.llm.suffixes import on_disk, sorted_to, suffix_array
 
 GRAM = 64
 #: Starts whose minimizers are found at once; a place in a block fits the low bits of a key.
 BLOCK, LOW = 1 << 19, 20
 HOT = 1000
+#: Bytes of a shard, and up to which its suffixes are sorted in memory; one minimizer's contents stay together whatever their size.
+SHARD, IN_MEMORY = 1 << 20, 4 << 20
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -113,26 +115,20 @@ def runs_of(starts: np.ndarray) -> list[tuple[int, int]]:
 def repeated_starts(contents: list[bytes], length: int) -> list[np.ndarray]:
     """For each content, the starts of strings of the length that start anywhere else in the contents, by sorting suffixes."""
     # contents end in 0, other symbols are one more: no string spans two contents
-    text = np.zeros(sum(map(len, contents)) + len(contents), np.uint16)
-    owner = np.repeat(np.arange(len(contents)), [len(c) + 1 for c in contents])
-    begin = np.cumsum([0, *(len(c) + 1 for c in contents)])
-    for k, c in enumerate(contents):
-        text[begin[k] : begin[k] + len(c)] = np.frombuffer(c, np.uint8).astype(np.uint16) + 1
-    ends = begin[1:] - 1
-    found: list[list[int]] = [[] for _ in contents]
     joined = b"\0".join(contents) + b"\0"
-    last, last_marked = -1, False
-    for p in suffix_array(text):
-        k = owner[p]
-        if p + length > ends[k]:
-            continue
-        same = last >= 0 and joined[p : p + length] == joined[last : last + length]
-        if same:
-            if not last_marked:
-                found[owner[last]].append(last - int(begin[owner[last]]))
-            found[k].append(p - int(begin[k]))
-        last, last_marked = p, same
-    return [np.sort(np.array(x, np.int64)) for x in found]
+    sizes = np.array([len(c) + 1 for c in contents])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    text = np.frombuffer(joined, np.uint8).astype(np.uint16) + np.uint16(1)
+    text[begin[1:] - 1] = 0
+    owner = np.repeat(np.arange(len(contents), dtype=np.int32), sizes)
+    order = np.frombuffer(suffix_array(on_disk(text)), np.int64) if len(text) > IN_MEMORY else sorted_to(text, length)
+    order = order[order + length <= begin[owner[order] + 1] - 1]
+    at = order.tolist()
+    same = np.fromiter((joined[p : p + length] == joined[q : q + length] for p, q in zip(at, at[1:], strict=False)), bool, max(0, len(at) - 1))
+    found = order[np.append(False, same) | np.append(same, False)] if len(at) else order
+    found = np.sort(found)
+    parts = np.searchsorted(found, begin)
+    return [found[a:b] - first for a, b, first in zip(parts, parts[1:], begin, strict=False)]
 
 
 def _spans(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -145,24 +141,25 @@ SPAN_SCHEMA = ", ".join(f"{c} bigint" for c in SPAN)
 
 
 def sort_shards(contents: DataFrame, length: int, shards: int) -> DataFrame:
-    """(m, h1, h2, a, b): runs of repeated starts of each content, one minimizer's contents after another."""
+    """(m, h1, h2, a, b): runs of repeated starts of each content, whole minimizers at a time, up to about SHARD bytes."""
     dealt = contents.repartition(shards, "m").sortWithinPartitions("m")
 
     def run(batches):
-        rows: list[tuple[int, int, bytes]] = []
-        now = None
+        rows: list[tuple[int, int, int, bytes]] = []
+        now, size = None, 0
 
         def done() -> pa.RecordBatch:
-            marks = repeated_starts([c for _, _, c in rows], length)
-            return _spans([(now, h1, h2, a, b) for (h1, h2, _), x in zip(rows, marks, strict=True) for a, b in runs_of(x)], SPAN)
+            marks = repeated_starts([r[3] for r in rows], length)
+            return _spans([(*r[:3], a, b) for r, x in zip(rows, marks, strict=True) for a, b in runs_of(x)], SPAN)
 
         for batch in batches:
-            for m, h1, h2, c in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if rows and m != now:
+            for r in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if size >= SHARD and r[0] != now:
                     yield done()
-                    rows = []
-                now = m
-                rows.append((h1, h2, c))
+                    rows, size = [], 0
+                now = r[0]
+                rows.append(r)
+                size += len(r[3]) + 1
         if rows:
             yield done()
 

@@ -8,6 +8,10 @@ as it leaves the priority queue, puts the one before it in. Suffixes of one symb
 order in which they must leave, so the queue is a heap of symbols, each with a first-in first-out
 spool that keeps its head and tail in memory and the rest on disk.
 
+suffix_array() does so one suffix at a time, for strings of any length. sorted_to() does it for
+strings that fit memory: all suffixes of a symbol leave at once, as arrays, and pieces are ordered
+by doubling their names only as far as a given depth.
+
 Texts, types and spools are files without a name: they go when they are closed or the process
 ends. In memory are bounded buffers of the spools and of the sorted runs.
 """
@@ -200,3 +204,77 @@ def suffix_array(text: np.ndarray) -> array:
             queue.push(symbols[here - 1], here - 1)
     out.reverse()
     return out
+
+
+def piece_ranks(text: np.ndarray, s: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes at the starts of pieces by their first `depth` symbols at least."""
+    wide = (text.astype(np.uint16) * 2 + s).astype(">u2").tobytes()
+    at = (2 * lms).tolist()
+    pieces = [wide[a : b + 2] for a, b in zip(at, [*at[1:], len(wide)], strict=True)]
+    name = {x: k for k, x in enumerate(sorted(set(pieces)))}
+    rank = np.fromiter(map(name.__getitem__, pieces), np.int64, len(pieces))
+    del pieces, wide
+    step, most = 1, len(name)
+    # a piece has two symbols at least, the second being the next one's first
+    while step < depth and most < len(rank):
+        after = np.zeros(len(rank), np.int64)
+        after[:-step] = rank[step:] + 1
+        values, rank = np.unique(rank * (most + 1) + after, return_inverse=True)
+        most, step = len(values), 2 * step
+    return rank
+
+
+class BlockQueue:
+    """SymbolQueue for arrays of suffixes: a push deals them to their symbols in order, a pop takes all there are."""
+
+    def __init__(self, text: np.ndarray, symbols: int):
+        self.text = text
+        self.held: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+
+    def push(self, suffixes: np.ndarray) -> None:
+        symbol = self.text[suffixes]
+        order = np.argsort(symbol, kind="stable")
+        suffixes, symbol = suffixes[order], symbol[order]
+        first = np.flatnonzero(np.diff(symbol, prepend=-1))
+        for c, a, b in zip(symbol[first].tolist(), first.tolist(), [*first[1:].tolist(), len(symbol)], strict=True):
+            self.held[c].append(suffixes[a:b])
+
+    def pop(self, symbol: int) -> np.ndarray | None:
+        found, self.held[symbol] = self.held[symbol], []
+        return (found[0] if len(found) == 1 else np.concatenate(found)) if found else None
+
+
+def sorted_to(text: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes of a string of small numbers in the order of their first `depth` symbols at least."""
+    n = len(text)
+    if n < 2:
+        return np.arange(n)
+    text = text.astype(np.int32)
+    s, symbols = s_types(text), int(text.max()) + 1
+    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    starts = lms[np.argsort(piece_ranks(text, s, lms, depth), kind="stable")] if len(lms) > 1 else lms
+    bounds = np.searchsorted(text[starts], np.arange(symbols + 1))
+    queue = BlockQueue(text, symbols)
+
+    def induce(block: np.ndarray, kind: bool) -> None:
+        before = block[block > 0] - 1
+        before = before[s[before] == kind]
+        if len(before):
+            queue.push(before)
+
+    larger: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+    queue.push(np.array([n - 1]))
+    for c in range(symbols):
+        while (block := queue.pop(c)) is not None:
+            larger[c].append(block)
+            induce(block, False)
+        induce(starts[bounds[c] : bounds[c + 1]], False)
+    out: list[np.ndarray] = []
+    for c in reversed(range(symbols)):
+        while (block := queue.pop(c)) is not None:
+            out.append(block)
+            induce(block, True)
+        for block in reversed(larger[c]):
+            out.append(block[::-1])
+            induce(block[::-1], True)
+    return np.concatenate(out)[::-1]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import fingerprints, jaccard, leaks, licences, packing, passages, pseudonyms, repeats, resampling, sharding
 from quillstone.llm.queries import tokenizer_path
-from quillstone.llm.suffixes import Spool, suffix_array
+from quillstone.llm.suffixes import Spool, sorted_to, suffix_array
 from tests.llm.conftest import LABELS, rows, words
 
 
@@ -218,6 +218,10 @@ def test_suffix_array():
     for _ in range(300):
         x = [r.randint(0, r.choice([1, 3, 200])) for _ in range(r.randint(0, 50))] * r.choice([1, 1, 3])
         assert list(suffix_array(np.array(x, np.uint8))) == sorted(range(len(x)), key=lambda i: x[i:])
+        assert sorted_to(np.array(x, np.uint16), 1000).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+        if x:
+            got = sorted_to(np.array(x, np.uint16), 5).tolist()
+            assert sorted(got) == list(range(len(x))) and all(x[a : a + 5] <= x[b : b + 5] for a, b in zip(got, got[1:], strict=False))
 
 
 def test_suffix_array_on_disk(monkeypatch):
@@ -232,6 +236,16 @@ def test_suffix_array_on_disk(monkeypatch):
     assert [s.pop() for _ in range(50)] == list(range(50)) and not s
 
 
+def test_repeated_starts_in_memory_and_on_disk(monkeypatch):
+    r = Random(6)
+    contents = [bytes(r.choice(b"ab") for _ in range(r.randrange(12, 60))) for _ in range(30)]
+    count = Counter(c[k : k + 12] for c in contents for k in range(len(c) - 11))
+    want = [[k for k in range(len(c) - 11) if count[c[k : k + 12]] > 1] for c in contents]
+    assert [x.tolist() for x in repeats.repeated_starts(contents, 12)] == want
+    monkeypatch.setattr(repeats, "IN_MEMORY", 0)
+    assert [x.tolist() for x in repeats.repeated_starts(contents, 12)] == want
+
+
 @pytest.mark.parametrize("hot", [1000, 1])
 def test_repeats_against_brute_force(docs, texts, none, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
