@@ -1,5 +1,35 @@
 """SQL of the opN_ queries that SQL can express."""
 
+from __future__ import annotations
+
+from quillstone.llm import sharding
+from quillstone.llm.queries import SHARDS
+
+#: CRC-32 of UTF-8 bytes by its table, which is itself made by rule.
+CRC32 = """
+t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+b AS (SELECT doc_id, text, list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))) AS bytes FROM documents),
+c AS (SELECT doc_id, text, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) AS text_crc32 FROM b, t)"""
+
+
+def sharding_sql() -> str:
+    tree = sharding.uniform_tree(SHARDS)
+    return f"""WITH {CRC32}, s AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, {sharding.draw_sql(tree)} AS shard, {sharding.draw_sql(sharding.grow(tree))} AS grown_shard FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM s"""
+
+
+#: Sets of 4-word shingles, links by counting shared ones, classes by the least reachable document.
+JACCARD = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS x FROM s),
+m AS (SELECT x FROM x GROUP BY x HAVING count(*) > 1),
+h AS (SELECT x.doc_id, x.x FROM x JOIN m USING (x)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM h a JOIN h b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM n JOIN r USING (doc_id) GROUP BY 1, 2"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_hash_tree": sharding_sql(), "op9_jaccard_join": JACCARD}
