@@ -47,6 +47,8 @@ CUTOFF = -1.0
 #: Share of documents that may be lost among the good for one more found among the bad, in choosing the cutoff.
 GOOD_COST = 3.0
 TEMPERATURE = 0.02
+#: Tokens that a worker remembers before it starts anew.
+TOKENS = 400_000
 
 _CORE = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
@@ -64,38 +66,64 @@ def shape(token: str) -> str:
     return "".join(out[:8])
 
 
+#: Where the hashes of each kind of feature begin.
+KINDS = {k: crc32(k.encode()) for k in ("w", "s", "p", "r")}
+W = KINDS["w"]
+
+
 def bucket(kind: str, value: str) -> int:
-    return crc32(f"{kind}:{value}".encode("utf-8", "surrogatepass")) % BUCKETS
+    return crc32(value.encode("utf-8", "surrogatepass"), KINDS[kind]) % BUCKETS
+
+
+@lru_cache(100_000)
+def shape_bucket(s: str) -> int:
+    return bucket("s", s)
+
+
+def look_at(token: str) -> tuple[str, tuple[int, ...]]:
+    """A token's shape, and the buckets of the shape and of its words."""
+    body, sign = (token, "") if token[-1] not in ".,;:" else (token[:-1], token[-1])
+    if body.isalpha() and len(body) < 60 and (body.islower() or body[1:].islower() and body[0].isupper()):
+        s = ("a" if body.islower() else "Aa") + sign  # what shape() and _CORE find, sooner
+        return s, (shape_bucket(s), crc32(body.lower().encode(), W) % BUCKETS)
+    s = shape(token)
+    return s, (shape_bucket(s), *[bucket("w", w.lower()) for w in _CORE.findall(token)])
 
 
 class Features:
     """Sets of buckets of texts; tables of tokens and shapes are bounded."""
 
     def __init__(self):
-        self.tokens: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.shapes: dict[str, str] = {}
+        self.buckets: dict[str, tuple[int, ...]] = {}
         self.pair = lru_cache(200_000)(lambda p: bucket("p", f"{p[0]} {p[1]}"))
 
-    def token(self, token: str) -> tuple[str, tuple[int, ...]]:
-        s = shape(token)
-        found = (s, (bucket("s", s), *(bucket("w", w.lower()) for w in _CORE.findall(token))))
-        if len(self.tokens) < 300_000:
-            self.tokens[token] = found
-        return found
-
     def of(self, text: str | None) -> np.ndarray:
         tokens = (text or "").split()
         if not tokens:
             return np.empty(0, np.int64)
-        known = self.tokens
-        found = [known.get(t) or self.token(t) for t in tokens]
-        shapes = [x[0] for x in found]
-        out = {b for x in found for b in x[1]}
-        out.update(map(self.pair, set(zip(shapes, shapes[1:], strict=False))))
+        shapes, buckets, out = self.shapes, self.buckets, set()
+        for t in set(tokens):
+            b = buckets.get(t)
+            if b is None:
+                shapes[t], b = look_at(t)
+                buckets[t] = b
+            out.update(b)
+        line = [shapes[t] for t in tokens]
+        out.update(map(self.pair, set(zip(line, line[1:], strict=False))))
         repeats = sum(map(eq, tokens, tokens[1:]))
         out.add(bucket("r", str(10 * repeats // len(tokens))))
+        if len(buckets) > TOKENS:
+            shapes.clear(), buckets.clear()
         return np.fromiter(out, np.int64, len(out))
 
 
+@lru_cache(1)
+def held_features() -> Features:
+    """One table for all tasks of a worker."""
+    return Features()
+
+
 def sample_labels(labels: DataFrame, most: int = MAX_LABELS) -> DataFrame:
     """doc_id, _good, _held of at most `most` labelled documents, by the hash of their ids."""
     each = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(1))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
@@ -108,7 +136,7 @@ def count_models(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left").select("text", F.coalesce(F.col("_good") & ~F.col("_held"), F.lit(False)).alias("target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = held_features()
         raw, target, rows, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0, 0
         for b in batches:
             for text, is_good in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -145,15 +173,15 @@ class Model:
         return cls(ratios)
 
 
-def weigh(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and weight, a double."""
+def weigh(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """All columns of docs and weight, a double, of the column text."""
     names = [c for c in docs.columns if c != "weight"]
     docs = docs.select(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model.ratios)
-    at = names.index("text")
+    at = names.index(text)
 
     def make():
-        features, ratios = Features(), shared.value
+        features, ratios = held_features(), shared.value
 
         def work(batch: pa.RecordBatch):
             found = [float(ratios[features.of(t)].sum()) for t in batch.column(at).to_pylist()]
@@ -164,8 +192,8 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", weight double")
 
 
-def gumbel(seed: int = 0) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12).cast("double") + 0.5) / 2.0**52
+def gumbel(doc_id: str, seed: int = 0) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 12).cast("double") + 0.5) / 2.0**52
     return -F.ln(-F.ln(u))
 
 
@@ -205,15 +233,20 @@ class Choice:
     keys: DataFrame
 
 
-def key_column() -> Column:
-    return F.col("weight") / F.lit(TEMPERATURE) + gumbel()
+def key_column(doc_id: str) -> Column:
+    return F.col("weight") / F.lit(TEMPERATURE) + gumbel(doc_id)
 
 
-def choose(docs: DataFrame, labels: DataFrame) -> Choice:
+def choose(docs: DataFrame, labels: DataFrame, whole: bool) -> Choice:
+    """Weighs the documents and decides; keys holds doc_id, weight and key, and if whole the columns of docs as _0, _1 and so on: their names may clash."""
     chosen = cut(sample_labels(labels))
     counts = count_models(docs, chosen).toPandas()
     model = Model.fit(counts["bucket"].to_numpy(np.int64), counts["raw"].to_numpy(np.int64), counts["target"].to_numpy(np.int64))
-    keys = cut(weigh(docs.select("doc_id", "text"), model).select("doc_id", "weight", key_column().alias("key")))
+    kept = docs.columns if whole else ["doc_id", "text"]
+    own = docs.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(kept)])
+    doc_id = f"_{kept.index('doc_id')}"
+    weighed = weigh(own, model, f"_{kept.index('text')}")
+    keys = cut(weighed.select(*(own.columns if whole else []), F.col(doc_id).alias("doc_id"), "weight", key_column(doc_id).alias("key")))
     held = keys.join(F.broadcast(chosen.where("_held")), "doc_id").select("weight", "_good").toPandas()
     cutoff = best_cutoff(held["weight"].to_numpy(float), held["_good"].to_numpy(bool)) if len(held) else CUTOFF
     k = keys.where(F.col("weight") >= cutoff).count()
@@ -222,14 +255,11 @@ def choose(docs: DataFrame, labels: DataFrame) -> Choice:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, weight, key and kept."""
-    c = choose(docs, labels)
+    c = choose(docs, labels, False)
     return c.keys.select("doc_id", "weight", "key", (F.col("key") >= c.least if c.k else F.lit(False)).alias("kept"))
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents in the sample, all their columns."""
-    c = choose(docs, labels)
-    names = docs.columns
-    if not c.k:
-        return docs.limit(0)
-    return weigh(docs, c.model).where(key_column() >= c.least).select(*names)
+    c = choose(docs, labels, True)
+    return c.keys.where(F.col("key") >= c.least if c.k else F.lit(False)).select(*[F.col(f"_{k}").alias(name) for k, name in enumerate(docs.columns)])
