@@ -1,21 +1,19 @@
-"""What the text operators share: reading, cutting lineage, Arrow batches, range buckets."""
+"""What the text operators share: Arrow batches, range buckets, and from the library tables and cutting lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: a batch of 2,000 long documents (0.1 MB each) still fits a worker.
-BATCH_ROWS = 512
+from quillstone.sources.scratch import cut, table
 
+__all__ = ["cut", "map_arrow", "partitions", "range_bounds", "range_bucket", "small_batches", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows in an Arrow batch: even of documents of 0.1 MB each it takes a worker 50 MB.
+BATCH_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -23,26 +21,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is (tests, one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        found = kept
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
