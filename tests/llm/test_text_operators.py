@@ -341,6 +341,32 @@ def test_passages(docs, none):
     assert passages.repeated(none).count() == 0
 
 
+def quoted_in_part(trials, others):
+    """In each trial two texts share 60 words, of which others quote 40 in a row."""
+    r, out = Random(11), []
+    new = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    for _ in range(trials):
+        passage = new(60)
+        cuts = [passage, passage] + [passage[k : k + 40] for k in (r.randrange(21) for _ in range(others))]
+        out += [new(20) + c + new(30) for c in cuts]
+    return out
+
+
+@pytest.mark.parametrize("few", [100, 3])
+def test_passages_quoted_in_part_by_others(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(passages, "FEW", few)
+    texts = quoted_in_part(30, 10)
+    holders = {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - 49):
+            holders.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = {i for h in holders.values() if len(h) > 1 for i in h}
+    df = spark.createDataFrame(rows([(i, " ".join(w)) for i, w in enumerate(texts)]), docs.schema)
+    got = {r.doc_id: r for r in passages.repeated(df).collect()}
+    assert set(got) == want and len(want) == 60
+    assert all(18 <= r.first_word <= 20 and 80 <= r.end_word <= 82 for r in got.values())
+
+
 def test_chains_against_quadratic():
     r = Random(4)
     for _ in range(200):
