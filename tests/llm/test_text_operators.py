@@ -367,6 +367,17 @@ def test_passages_quoted_in_part_by_others(spark, docs, monkeypatch, few):
     assert all(18 <= r.first_word <= 20 and 80 <= r.end_word <= 82 for r in got.values())
 
 
+def test_passages_with_words_replaced(spark, docs):
+    r, texts = Random(12), []
+    new = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    edits = [lambda k: k % 7 == 6, lambda k: k % 5 == 4, lambda k: 3 < k < 57 and r.random() < 0.1]
+    for edit in edits * 10:
+        passage = new(60)
+        texts += [new(40) + passage + new(20), new(10) + [f"x{r.randrange(10**7)}" if edit(k) else w for k, w in enumerate(passage)] + new(50)]
+    df = spark.createDataFrame(rows([(i, " ".join(w)) for i, w in enumerate(texts)]), docs.schema)
+    assert {r.doc_id for r in passages.repeated(df).collect()} == set(range(len(texts)))
+
+
 def test_chains_against_quadratic():
     r = Random(4)
     for _ in range(200):
