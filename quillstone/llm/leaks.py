@@ -8,8 +8,8 @@ hit, as long as the item and e characters on either side, is verified by Myers's
 distance between the item and any substring.
 
 Items travel to the workers in blocks of bounded size; the documents are read once per block, so
-any number of items is handled. Items that normalise to fewer than MIN_CHARS characters are too
-common to mean a leak and are matched by nothing.
+any number of items is handled. Items that normalise to fewer than MIN_CHARS characters are
+matched without edits and as whole words only, however common they are.
 
 Edge cases: null and empty texts and items match nothing; equal items give a row each; repeated
 documents give repeated results; empty tables give no rows; other columns are ignored.
@@ -88,7 +88,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], errors: int = ERRORS):
         self.items = [(i, normal(t)) for i, t in items if t]
-        self.items = [(i, t, budget(len(t), errors)) for i, t in self.items if len(t) >= MIN_CHARS]
+        self.items = [(i, t, budget(len(t), errors) if len(t) >= MIN_CHARS else 0) for i, t in self.items if t]
         uses: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, e) in enumerate(self.items):
             for start, piece in split_pieces(t, e):
@@ -107,10 +107,15 @@ class Matcher:
             return []
         text = normal(text)
         windows: dict[int, list[list[int]]] = {}
+        short: dict[int, int] = {}
         for end, (length, found) in self.machine.iter(text):
             for k, start in found:
                 n, e = len(self.items[k][1]), self.items[k][2]
                 a = end + 1 - length - start
+                if n < MIN_CHARS:
+                    if k not in short and text[a - 1 : a] in ("", " ") and text[end + 1 : end + 2] in ("", " "):
+                        short[k] = a
+                    continue
                 window = [max(0, a - e), min(len(text), a + n + e)]
                 if window[1] - window[0] < n - e:
                     continue
@@ -119,7 +124,7 @@ class Matcher:
                     held[-1] = [min(held[-1][0], window[0]), max(held[-1][1], window[1])]
                 else:
                     held.append(window)
-        out = []
+        out = [(self.items[k][0], 0, a, a + len(self.items[k][1])) for k, a in short.items()]
         for k, held in windows.items():
             item, t, e = self.items[k]
             best = None

@@ -213,6 +213,14 @@ def test_leaks_against_edit_distance(spark, docs, none):
     assert leaks.find_leaks(none, items).count() == 0 and leaks.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items(spark, docs):
+    texts = [(0, "So: What is 7 times 8? It is 56."), (1, "what is 7 times 80"), (2, "somewhat is 7 times 8"), (3, "what is 7 times 9"), (5, "what is 7 times 8")]
+    items = spark.createDataFrame([(0, "What is 7 times 8?")], "item_id bigint, text string")
+    df = spark.createDataFrame(rows(texts), docs.schema)
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in leaks.find_leaks(df, items).collect()) == [(0, 0, 0), (5, 0, 0)]
+    assert sorted(r.doc_id for r in leaks.without_leaks(df, items).collect()) == [1, 2, 3]
+
+
 def test_suffix_array():
     r = Random(1)
     for _ in range(300):
