@@ -158,6 +158,30 @@ def incoming_refs(spark, sf_dir):
     return graph.incoming(_edges(spark, sf_dir))
 
 
+def _key_edges(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).where("src <> dst").distinct()
+
+
+_KEY_EDGES = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey)"
+
+
+@query(f"WITH RECURSIVE {_KEY_EDGES}, r AS (SELECT DISTINCT src AS root, src AS node FROM e UNION SELECT r.root, e.dst FROM r JOIN e ON r.node = e.src) SELECT root, node FROM r")
+def closure_full_keys(spark, sf_dir):
+    e = _key_edges(spark, sf_dir)
+    return graph.closure(e.select(F.col("src").alias("root"), F.col("src").alias("node")), e).select("root", "node")
+
+
+@query(f"WITH {_KEY_EDGES}, n AS (SELECT DISTINCT src AS root, src AS node, 0 AS hops FROM e UNION ALL SELECT src, dst, 1 FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src) SELECT root, node, CAST(min(hops) AS INTEGER) AS hops FROM n GROUP BY 1, 2")
+def closure_2hop_keys(spark, sf_dir):
+    e = _key_edges(spark, sf_dir)
+    return graph.closure(e.select(F.col("src").alias("root"), F.col("src").alias("node")), e, max_hops=2)
+
+
+@query(f"WITH {_KEY_EDGES} SELECT dst, CAST(count(*) AS BIGINT) AS n_src, min(src) AS first_src FROM e GROUP BY 1")
+def incoming_refs_keys(spark, sf_dir):
+    return graph.incoming(_key_edges(spark, sf_dir))
+
+
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_linenumber >= 6)")
 def orphans(spark, sf_dir):
     used = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_linenumber >= 6").select(F.col("l_suppkey").alias("s_suppkey"))

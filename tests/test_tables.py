@@ -34,6 +34,16 @@ def test_query_matches_sql(spark, duck, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(found.fetchall(), list(found.columns))
 
 
+def test_closure_of_real_keys_against_brute_force(spark, tmp_path):
+    pairs = [(1000 + k, 7) for k in range(60)] + [(7, 8), (8, 9), (9, 7), (9, 9), (9, 5000), (5000, 1003)]
+    spark.createDataFrame(pairs, "l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {(a, b) for a, b in pairs if a != b}
+    want = {(a, a) for a, _ in edges}
+    while more := {(r, b) for r, n in want for a, b in edges if n == a} - want:
+        want |= more
+    assert sorted(map(tuple, tables.closure_full_keys(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_entry_imports():
     import __spark_entry__
 
