@@ -8,10 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.sources.scratch import cut, table
+from quillstone.sources.scratch import cut, drop, table
 
-__all__ = ["cut", "map_arrow", "partitions", "range_bounds", "range_bucket", "small_batches", "table"]
+__all__ = ["ROW", "cut", "drop", "map_arrow", "partitions", "range_bounds", "range_bucket", "small_batches", "table", "texts_of"]
 
+#: Names a row of documents by 128 bits of its id and text, whatever its id.
+ROW = "unhex(concat(lpad(hex(xxhash64(doc_id, text)), 16, '0'), lpad(hex(xxhash64(text, doc_id, 7)), 16, '0')))"
+#: Names of rows are broadcast up to so many, 16 bytes each; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
 #: Rows in an Arrow batch: even of documents of 0.1 MB each it takes a worker 50 MB.
 BATCH_ROWS = 512
 
@@ -57,3 +61,13 @@ def range_bucket(column: Column, bounds: list) -> Column:
     block = count(F.array(*map(F.lit, coarse)))
     inner = F.get(F.array(*[F.array(*map(F.lit, x)) for x in rest]), block)
     return F.when(column.isNull(), 0).otherwise(block * step + F.when(inner.isNull(), 0).otherwise(count(inner)))
+
+
+def some_rows(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table of names of rows, marked for a broadcast if it is small. It is counted, so it should be cut."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """row and text of the given distinct rows, each once."""
+    return docs.select(F.expr(ROW).alias("row"), "text").join(some_rows(rows), "row", "left_semi").dropDuplicates(["row"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut
+from quillstone.llm.common import cut, drop
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,15 +19,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node, component: the least node of its component, for every node of an edge table (a, b)."""
+    """node, component: the least node of its component, for every node of an edge table (a, b). The result is a table of its own, for drop()."""
     edges = cut(edges.select("a", "b").where("a <> b"))
     seen = None
     while True:
-        edges = cut(_star(_star(edges, True), False))
+        after = cut(_star(_star(edges, True), False))
+        drop(edges)
+        edges = after
         r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 31) - 1))).alias("s")).first()
         now = (r["n"], r["x"], r["s"])
         if now == seen:
             break
         seen = now
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = cut(stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    drop(edges)
+    return out

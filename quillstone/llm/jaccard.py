@@ -3,27 +3,32 @@
 A text's tokens are its distinct k-word shingles, hashed. Two texts link when the shingles they
 share are at least num / den of those that either has. Texts of equal sets are one node.
 
-Tokens are ordered rare ones first (each class by hash). A token is rare if its hash is below
-COUNTED and it is not in the table of the FREQUENT most common of these; all documents' tokens
-below COUNTED are counted. All others are frequent. The table only steers the order: any table
-gives the same links. With n tokens a node may miss at most d = n - ceil(n num / den) of them, and node and
-partner together at most D = floor(n (den - num) / num). So if it has more than d rare tokens,
-its first d + 1 hold one that is shared. If it has only r, and none is shared, the rest of both
-has at most D - r that are not shared; among its first 2 (D - r) + 2 frequent tokens, fewer than
-half the places between neighbours are then disturbed, so two neighbouring frequent tokens are
-neighbours in the partner too. Signatures are therefore the rare tokens of the prefix, singly,
-and the pairs of neighbouring frequent tokens of the extended prefix.
-
-Nodes that share a signature are compared in rounds. First each is compared with one node of the
-signature, again with others chosen by hash; links that hold make components. What is left are
-pairs of one signature in different components: all of them are compared. Pairs inside a
-component need no comparing: they cannot change it. A comparison drops pairs whose sizes or
-parity bitmaps bound the likeness below the threshold, and counts the shared shingles of the rest.
+Tokens are ordered rare ones first (each class by hash). A token is frequent if it is in the table
+of the FREQUENT most common ones, by counts of all tokens of all documents; others are rare.
+Counting is lossy: a task adds up windows of WINDOW tokens and hands on those it met twice, so a
+token that is missed is in no more documents than there are windows. The table only steers the
+order: any table gives the same links. With n tokens a node may miss at most
+d = n - ceil(n num / den) of them, and node and partner together at most D = floor(n (den - num) / num).
+So if it has more than d rare tokens, its first d + 1 hold one that is shared. If it has only r, and
+none is shared, the rest of both has at most D - r that are not shared; among its first
+2 (D - r) + 2 frequent tokens, fewer than half the places between neighbours are then disturbed, so
+two neighbouring frequent tokens are neighbours in the partner too. Signatures are therefore the
+rare tokens of the prefix, singly, and the pairs of neighbouring frequent tokens of the extended
+prefix.
+
+Nodes that meet at a rare token are few. A pair of frequent ones may be held by any number of
+nodes, but two that meet there and share no rare token (else they meet at that) share at most
+m = n - r of either's tokens: the bound that keeps large groups from being compared in all pairs. A
+signature's nodes are first compared with its hub, the node with the fewest rare tokens; of what
+may link at all, it links most. Links make components, and pairs inside one need no comparing. What
+is left are the pairs of one signature in different components that the bound lets through. A
+comparison drops pairs whose sizes or parity bitmaps bound the likeness below the threshold, and
+counts the shared shingles of the rest.
 
 Edge cases: null, empty and blank texts have no shingles, no partners and are components of their
 own; a text of fewer than k words is one shingle; texts are read whole; repeated rows are equal
-texts; a null doc_id takes part, and is the component's id only where it has no other; an empty
-table gives no rows; other columns are ignored.
+texts; a null doc_id takes part, and is the component's id only where it has no other; ties do not
+arise, as classes hang on links alone; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,23 +42,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, map_arrow, small_batches
+from quillstone.llm.common import ROW, cut, drop, map_arrow, small_batches, some_rows, texts_of
 from quillstone.llm.components import connected
 from quillstone.llm.shingles import mix, shingle_set
 
 #: Tokens in the table of frequent ones (8 bytes each), and in how many documents they must be.
 FREQUENT, LEAST_FREQUENT = 1 << 20, 12
-#: Hashes below this are counted: enough to fill the prefix of a text that has as many frequent tokens as rare ones.
-COUNTED = np.uint64(3 << 60)
 #: Tokens that a task adds up before it hands them on.
 WINDOW = 4_000_000
 #: Bits of the parity bitmap, kept as longs.
 PARITY = 512
-#: Bits of the filter that spares texts in no pair the shuffle.
-BLOOM = 1 << 22
-STAR_ROUNDS = 3
-#: Names a row of documents, whatever its id.
-ROW = "xxhash64(doc_id, text)"
 
 
 @dataclass(frozen=True)
@@ -75,21 +73,23 @@ class Rule:
         return n * (self.den - self.num) // self.num
 
 
-def signatures(tokens: np.ndarray, rule: Rule, frequent: np.ndarray) -> np.ndarray:
-    """The signatures of a sorted set of tokens; frequent is sorted. Sets of few tokens that must be equal to link have none."""
+def signatures(tokens: np.ndarray, rule: Rule, frequent: np.ndarray) -> tuple[np.ndarray, int | None]:
+    """The signatures of a sorted set of tokens (even: of one rare token; odd: of two frequent ones), and how many tokens are not rare, where that decides.
+
+    frequent is sorted. Sets of few tokens that must be equal to link have no signatures.
+    """
     n = len(tokens)
     both, one = rule.apart(n), rule.missing(n) + 1
     if not n or not both:
-        return np.empty(0, np.uint64)
-    at = np.searchsorted(frequent, tokens)
-    common = tokens >= COUNTED
+        return np.empty(0, np.uint64), None
+    common = np.zeros(n, bool)
     if len(frequent):
-        common |= frequent[np.minimum(at, len(frequent) - 1)] == tokens
-    rare = tokens[~common]
+        common = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+    rare, low = tokens[~common], np.uint64(1)
     if len(rare) >= one:
-        return rare[:one]
+        return np.unique(rare[:one] & ~low), None
     often = tokens[common][: 2 * (both - len(rare)) + 2]
-    return np.concatenate([rare, mix(often[:-1] * np.uint64(3) + mix(often[1:]))])
+    return np.unique(np.concatenate([rare & ~low, mix(often[:-1] * np.uint64(3) + mix(often[1:])) | low])), n - len(rare)
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -99,19 +99,21 @@ def parity(tokens: np.ndarray) -> np.ndarray:
 
 
 def count_frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """The FREQUENT tokens that most documents hold, of those counted, sorted."""
+    """The FREQUENT tokens that most documents hold, of those that a window holds twice, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
         def common() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
+            tokens = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            n = np.diff(np.append(first, len(tokens)))
+            twice = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(tokens[first[twice]].view(np.int64)), pa.array(n[twice].astype(np.int32))], ["token", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                s = shingle_set(text, k)
-                held.append(s[: np.searchsorted(s, COUNTED)])
+                held.append(shingle_set(text, k))
                 total += len(held[-1])
                 if total >= WINDOW:
                     yield common()
@@ -126,75 +128,48 @@ def count_frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
-    """doc_id, row (hash of id and text), n (set size), node (hash of the set), parity and signatures of each document."""
+    """doc_id, row, n (set size), node (128-bit hash of the set), m (tokens that are not rare; null: enough are), parity and signatures of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
         table = shared.value
 
         def work(batch: pa.RecordBatch):
-            n, node, bits, sigs = [], [], [], []
+            n, node, m, bits, sigs = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, rule.k)
                 n.append(len(s))
-                node.append(int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+                node.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bits.append(parity(s))
-                sigs.append(signatures(s, rule, table).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "row", "n", "node", "parity", "sigs"])
+                x, count = signatures(s, rule, table)
+                m.append(count), sigs.append(x.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(m, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "row", "n", "node", "m", "parity", "sigs"])
 
         return work
 
     docs = docs.select("doc_id", F.expr(ROW).alias("row"), "text")
-    return map_arrow(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, n bigint, node bigint, parity array<bigint>, sigs array<bigint>")
+    return map_arrow(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row binary, n bigint, node binary, m bigint, parity array<bigint>, sigs array<bigint>")
 
 
-def _fits(rule: Rule, a: str, b: str):
+def _fits(rule: Rule, a: str, b: str) -> Column:
     return F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num
 
 
+def _may_link(rule: Rule, n1: str, m1: str, n2: str, m2: str) -> Column:
+    """Whether two nodes that meet at sig may link: there they share at most the tokens that are not rare, if sig is of frequent ones."""
+    most = F.least(m1, m2)
+    return _fits(rule, n1, n2) & ((F.col("sig").bitwiseAND(F.lit(1)) == 0) | (most * rule.den >= (F.col(n1) + F.col(n2) - most) * rule.num))
+
+
 def by_parity(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose sizes and parity bitmaps allow a link, with the rows da and db that hold them."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), F.col("row").alias(f"d{x}"))
+    side = lambda x: nodes.select(F.col("num").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), F.col("row").alias(f"d{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # shared <= (na + nb - differ) / 2, so all >= (na + nb + differ) / 2
     return both.where(_fits(rule, "na", "nb") & ((F.col("na") + F.col("nb") - differ) * rule.den >= (F.col("na") + F.col("nb") + differ) * rule.num)).select("a", "b", "da", "db")
 
 
-def _bloom(rows: DataFrame) -> np.ndarray:
-    """A Bloom filter of BLOOM bits over row, as longs."""
-    bits = rows.select(F.explode(F.array(*_places())).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v")).toPandas()
-    out = np.zeros(BLOOM // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-    return out
-
-
-def _places() -> list[Column]:
-    return [F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(BLOOM)).alias(f"h{seed}") for seed in (1, 2, 3)]
-
-
-def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """row and text of the given distinct rows. A Bloom filter of fixed size leaves most other texts out of the join."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(rows))
-    named = docs.select(F.expr(ROW).alias("row"), "text").select("row", "text", *_places())
-
-    def make():
-        words = shared.value
-
-        def work(batch: pa.RecordBatch):
-            keep = np.ones(batch.num_rows, bool)
-            for k in (2, 3, 4):
-                bit = batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)
-                keep &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-        return work
-
-    some = map_arrow(named, make, "row bigint, text string")
-    return some.join(rows, "row", "left_semi").dropDuplicates(["row"])
-
-
 def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b, da, db) that link, by counting shared shingles."""
     side = lambda x: texts.select(F.col("row").alias(f"d{x}"), F.col("text").alias(f"t{x}"))
@@ -223,56 +198,74 @@ def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return map_arrow(both, make, "a bigint, b bigint")
 
 
-def link(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of each document, and (node, component) of the nodes that have partners."""
-    rows = cut(sketch(docs, rule, count_frequent(docs, rule.k)))
-    nodes = cut(rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("parity").alias("parity")))
-    held = rows.select("node", F.explode("sigs").alias("sig"))
-    several = held.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
-    held = cut(held.join(several, "sig").distinct().join(nodes.select("node", "n"), "node"))
-    component = None
-    links = None
-    tried = None
-    for turn in range(STAR_ROUNDS + 1):
-        now = held.withColumn("c", F.col("node")) if component is None else held.join(component.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        if component is not None:
-            open_ = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-            now = cut(now.join(open_, "sig"))
-        if turn < STAR_ROUNDS:
-            hub = now.groupBy("sig").agg(F.min_by(F.struct("node", "c", "n"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("hub"))
-            pairs = now.join(hub, "sig").where((F.col("c") != F.col("hub.c")) & _fits(rule, "n", "hub.n")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
-            # one hub for each node, the one it shares most with: rounds only spare the comparison of all
-            best = pairs.groupBy("node").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
-            pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        else:
-            other = now.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            pairs = now.join(other, "sig").where((F.col("c") < F.col("c2")) & _fits(rule, "n", "n2")).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(by_parity(pairs, nodes, rule))
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        ids = pairs.select(F.explode(F.array("da", "db")).alias("row")).distinct()
-        texts = cut(texts_of(docs, ids))
-        found = cut(verify(pairs, texts, rule))
-        links = found if links is None else links.unionByName(found)
-        component = cut(connected(links))
-    return rows.select("doc_id", "n", "node"), component
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b, da, db) that link, as a table of its own."""
+    rows = cut(pairs.select(F.explode(F.array("da", "db")).alias("row")).distinct())
+    texts = cut(texts_of(docs, rows))
+    found = cut(verify(pairs, texts, rule))
+    drop(rows, texts)
+    return found
+
+
+def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, row, n and c, the number of the row's component (null without shingles); a table of its own."""
+    sketched = cut(sketch(docs, rule, count_frequent(docs, rule.k)))
+    nodes = sketched.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "m", "parity", "sigs")])
+    nodes = cut(nodes.withColumn("num", F.monotonically_increasing_id()))
+    rows = cut(sketched.select("doc_id", "row", "n", "node"))
+    drop(sketched)
+    held = nodes.select("num", "n", "m", F.explode("sigs").alias("sig"))
+    several = held.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("sig")
+    held = cut(held.join(several, "sig"))
+
+    rare = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, F.col("n") - F.col("m")).otherwise(0)
+    hub = held.groupBy("sig").agg(F.min(F.struct(rare.alias("r"), F.xxhash64("num").alias("h"), "num", "n", "m")).alias("hub"))
+    hub = hub.select("sig", F.col("hub.num").alias("num2"), F.col("hub.n").alias("n2"), F.col("hub.m").alias("m2"))
+    pair = [F.least("num", "num2").alias("a"), F.greatest("num", "num2").alias("b")]
+    first = held.join(hub, "sig").where((F.col("num") != F.col("num2")) & _may_link(rule, "n", "m", "n2", "m2")).select(*pair).distinct()
+    first = cut(by_parity(first, nodes, rule))
+    links = _linked(docs, nodes, first, rule)
+    stars = connected(links)
+    drop(links)
+
+    now = held.join(stars.select(F.col("node").alias("num"), F.col("component").alias("c")), "num", "left").withColumn("c", F.coalesce("c", "num"))
+    parted = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
+    now = cut(now.join(parted, "sig"))
+    drop(held)
+    other = now.select("sig", F.col("num").alias("num2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("c").alias("c2"))
+    rest = now.join(other, "sig").where((F.col("c") < F.col("c2")) & _may_link(rule, "n", "m", "n2", "m2")).select(*pair).distinct()
+    rest = cut(by_parity(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), nodes, rule))
+    drop(now, first)
+    links = _linked(docs, nodes, rest, rule)
+    component = connected(links.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    named = nodes.select("node", F.col("num").alias("c0")).join(component.select(F.col("node").alias("c0"), "component"), "c0", "left").select("node", F.coalesce("component", "c0").alias("c"))
+    out = cut(rows.join(named, "node", "left").select("doc_id", "row", "n", "c"))
+    drop(rows, nodes, rest, links, stars, component)
+    return out
 
 
 def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable by links."""
-    rows, component = link(docs, rule)
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
-    named = least.join(component, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("c"))
-    lowest = named.groupBy("c").agg(F.min("doc").alias("component_id"))
-    named = named.join(lowest, "c").select("node", "component_id")
-    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = link(docs, rule)
+    lowest = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(lowest, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The documents whose id is their component's, all columns; one row where rows repeat that id. Rows with a null doc_id stay."""
-    found = cut(classes(docs, rule))
-    gone = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    """One row of each class of documents, all columns: of the least doc_id (a null one is the greatest), of equal ids by the hash of the text.
+
+    Rows are told apart by id and text, so rows of one id but different texts are judged by their
+    own classes. Of rows repeated with id and text one stays, whichever its other columns; rows
+    without shingles are in no class and stay, but for repeats of one id.
+    """
+    rows = link(docs, rule)
+    least = rows.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("keep")).select("c", F.col("keep.row").alias("keep"))
+    each = rows.where("c is not null or doc_id is not null").groupBy("row", "c").agg(F.count(F.lit(1)).alias("copies"))
+    each = each.join(least, "c", "left").select("row", "copies", (F.col("c").isNull() | (F.col("row") == F.col("keep"))).alias("stays"))
+    each = cut(each.where("not stays or copies > 1"))
+    drop(rows)
+    named = docs.select(F.expr(ROW).alias("_row"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns)])
+    single = named.join(some_rows(each.select(F.col("row").alias("_row"))), "_row", "left_anti")
+    again = named.join(some_rows(each.where("stays").select(F.col("row").alias("_row"))), "_row", "left_semi").dropDuplicates(["_row"])
+    return single.unionByName(again).select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])

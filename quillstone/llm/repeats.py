@@ -29,8 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, map_arrow, partitions
-from quillstone.llm.jaccard import ROW, texts_of
+from quillstone.llm.common import ROW, cut, map_arrow, partitions, texts_of
 from quillstone.llm.shingles import BASE, INVERSE, mix, powers
 from quillstone.llm.suffixes import on_disk, sorted_to, suffix_array
 
@@ -101,7 +100,7 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
 
         return work
 
-    return map_arrow(docs.select(F.expr(ROW).alias("row"), F.col("text").cast("binary").alias("text")), make, "row bigint, m bigint, h1 bigint, h2 bigint, s bigint, e bigint")
+    return map_arrow(docs.select(F.expr(ROW).alias("row"), F.col("text").cast("binary").alias("text")), make, "row binary, m bigint, h1 bigint, h2 bigint, s bigint, e bigint")
 
 
 def runs_of(starts: np.ndarray) -> list[tuple[int, int]]:

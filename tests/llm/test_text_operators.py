@@ -272,7 +272,8 @@ def test_repeats_against_brute_force(docs, texts, none, hot, monkeypatch):
     assert hot == 1 or repeats.removed(none).count() == 0
 
 
-def brute_classes(texts, k, num, den):
+def each_class(texts, k, num, den):
+    """(doc_id, set size, number of the class or None) of each text, comparing all pairs."""
     sets = []
     for _, t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
@@ -283,11 +284,16 @@ def brute_classes(texts, k, num, den):
         for b in range(a):
             if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 label[find(a)] = find(b)
+    return [(i, len(s), find(a) if s else None) for a, ((i, _), s) in enumerate(zip(texts, sets, strict=True))]
+
+
+def brute_classes(texts, k, num, den):
+    found = each_class(texts, k, num, den)
     least = {}
-    for a, (i, _) in enumerate(texts):
+    for i, _, c in found:
         if i is not None:
-            least[find(a)] = min(i, least.get(find(a), i))
-    return Counter((i, len(s), least.get(find(a)) if s else i) for a, ((i, _), s) in enumerate(zip(texts, sets, strict=True)))
+            least[c] = min(i, least.get(c, i))
+    return Counter((i, n, i if c is None else least.get(c)) for i, n, c in found)
 
 
 def variants(seed, n):
@@ -314,7 +320,6 @@ def test_jaccard_against_brute_force(spark, docs, texts, none):
 
 def test_frequent_tokens_are_paired_and_links_stay(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAST_FREQUENT", 3)
-    monkeypatch.setattr(jaccard, "COUNTED", np.uint64(2**64 - 1))
     more = [*variants(31, 50), *variants(32, 50)]
     df = spark.createDataFrame(rows(more), docs.schema)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(df).collect())
@@ -331,7 +336,7 @@ def test_signatures_are_shared_by_all_that_link():
         x, y = np.unique(x), np.unique(y)
         shared = len(np.intersect1d(x, y))
         if 100 * shared >= 85 * (len(x) + len(y) - shared) and x.tolist() != y.tolist():
-            assert np.intersect1d(jaccard.signatures(x, rule, table), jaccard.signatures(y, rule, table)).size
+            assert np.intersect1d(jaccard.signatures(x, rule, table)[0], jaccard.signatures(y, rule, table)[0]).size
 
 
 def test_one_of_each(docs):
@@ -341,6 +346,30 @@ def test_one_of_each(docs):
     assert ids.count(5) == 1 and ids.count(None) == 2 and not {6, 7} & set(ids) and {0, 1, 8, 9} <= set(ids)
 
 
+def test_one_of_each_tells_rows_apart(spark, docs):
+    base, other, a, b = (" ".join(words(s, 120)) for s in (61, 62, 63, 64))
+    near = base.replace(base.split()[60], "changed")
+    texts = [(3, base), (7, base), (7, other), (9, a), (9, b), (9, b), (1, near), (None, near), (None, a), (4, ""), (4, ""), (4, None), (None, ""), (None, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows(texts), docs.schema), jaccard.Rule(5, 80, 100))
+    want = [(1, near), (7, other), (9, a), (9, b), (4, ""), (4, None), (None, ""), (None, "")]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+
+
+def test_one_of_each_against_brute_force(spark, docs, texts):
+    more = [(i and i % 150, t) for i, t in [*texts, *variants(41, 60), *variants(42, 60)]]
+    label, least = {}, {}
+    for (i, t), (_, _, c) in zip(more, each_class(more, 5, 80, 100), strict=True):
+        label[i, t] = c
+        if c is not None:
+            least[c] = min(least.get(c, (i is None, i or 0, t)), (i is None, i or 0, t), key=lambda x: x[:2])
+    keys = lambda c: {(i, t) for (i, t), d in label.items() if d == c and (i is None, i or 0) == least[c][:2]}
+    got = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(spark.createDataFrame(rows(more), docs.schema), jaccard.Rule(5, 80, 100)).collect())
+    for c in least:
+        assert sum(got[k] for k in keys(c)) == 1 and not any(got[k] for k, d in label.items() if d == c and k not in keys(c))
+    blank = Counter((i, t) for (i, t) in more if label[i, t] is None)
+    assert Counter({k: n for k, n in got.items() if label[k] is None}) == Counter({k: n if k[0] is None else 1 for k, n in blank.items()})
+
+
 def test_passages(docs, none):
     got = {r.doc_id: r for r in passages.repeated(docs).collect()}
     assert set(got) == {5, 6, 7, 9, 10} or set(got) == {5, 6, 7, 9, 10, 18}
