@@ -31,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here and lost executors cost nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
     return out
