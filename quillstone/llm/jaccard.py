@@ -216,22 +216,26 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     drop(sketched)
     held = nodes.select("num", "n", "m", F.explode("sigs").alias("sig"))
     several = held.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("sig")
+    # tables of keys are cut, so that a join by them can be split where a signature is hot
+    several = cut(several)
     held = cut(held.join(several, "sig"))
+    drop(several)
 
     rare = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, F.col("n") - F.col("m")).otherwise(0)
     hub = held.groupBy("sig").agg(F.min(F.struct(rare.alias("r"), F.xxhash64("num").alias("h"), "num", "n", "m")).alias("hub"))
-    hub = hub.select("sig", F.col("hub.num").alias("num2"), F.col("hub.n").alias("n2"), F.col("hub.m").alias("m2"))
+    hub = cut(hub.select("sig", F.col("hub.num").alias("num2"), F.col("hub.n").alias("n2"), F.col("hub.m").alias("m2")))
     pair = [F.least("num", "num2").alias("a"), F.greatest("num", "num2").alias("b")]
     first = held.join(hub, "sig").where((F.col("num") != F.col("num2")) & _may_link(rule, "n", "m", "n2", "m2")).select(*pair).distinct()
     first = cut(by_parity(first, nodes, rule))
+    drop(hub)
     links = _linked(docs, nodes, first, rule)
     stars = connected(links)
     drop(links)
 
     now = held.join(stars.select(F.col("node").alias("num"), F.col("component").alias("c")), "num", "left").withColumn("c", F.coalesce("c", "num"))
-    parted = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
+    parted = cut(now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig"))
     now = cut(now.join(parted, "sig"))
-    drop(held)
+    drop(held, parted)
     other = now.select("sig", F.col("num").alias("num2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("c").alias("c2"))
     rest = now.join(other, "sig").where((F.col("c") < F.col("c2")) & _may_link(rule, "n", "m", "n2", "m2")).select(*pair).distinct()
     rest = cut(by_parity(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), nodes, rule))

@@ -373,7 +373,8 @@ def test_one_of_each_against_brute_force(spark, docs, texts):
 def test_passages(docs, none):
     got = {r.doc_id: r for r in passages.repeated(docs).collect()}
     assert set(got) == {5, 6, 7, 9, 10} or set(got) == {5, 6, 7, 9, 10, 18}
-    assert got[9].partner_id == 10 and got[10].partner_id == 9 and got[5].class_id == got[6].class_id == 5
+    assert got[9].component_id == got[10].component_id == 9 and got[5].class_id == got[6].class_id == got[7].component_id == 5
+    assert got[9].n_passages == got[10].n_passages == 1 and 120 <= got[10].n_words <= 123
     assert 38 <= got[9].first_word <= 40 and 160 <= got[9].end_word <= 162
     assert passages.repeated(none).count() == 0
 
@@ -389,9 +390,10 @@ def quoted_in_part(trials, others):
     return out
 
 
-@pytest.mark.parametrize("few", [100, 3])
-def test_passages_quoted_in_part_by_others(spark, docs, monkeypatch, few):
+@pytest.mark.parametrize(("few", "hot"), [(16, 64), (3, 64), (3, 4)])
+def test_passages_quoted_in_part_by_others(spark, docs, monkeypatch, few, hot):
     monkeypatch.setattr(passages, "FEW", few)
+    monkeypatch.setattr(passages, "LEAST_HOT", hot)
     texts = quoted_in_part(30, 10)
     holders = {}
     for i, w in enumerate(texts):
