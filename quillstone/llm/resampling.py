@@ -1,24 +1,26 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-A document is the set of its hashed features: words, the shapes of tokens (runs of capitals,
-small letters and digits, with the signs between), pairs of neighbouring shapes, and how often a
-token repeats the one before. Two generative models give each bucket its rate per document: the
-raw model counts all documents, the target model the labelled ones of good quality that are not
-toxic. Labels are joined from a sample of at most MAX_LABELS labelled documents (those of the
-least hashes), so they can be broadcast; a fifth of them is held out.
+A document is the set of its hashed features: words, pairs of neighbouring words, the shapes of
+tokens (runs of capitals, small letters and digits, with the signs between), pairs of neighbouring
+shapes, and how often a token repeats the one before. Two generative models give each bucket its
+rate per document: the raw model counts all documents, the target model the labelled ones of good
+quality that are not toxic. Labels are joined from a sample of at most MAX_LABELS labelled documents
+(those of the least hashes), so they can be broadcast; a fifth of them is held out.
 
 A bucket's log ratio is ``log((t + C) / (e + C))``, t being its count in the target and e the
-count expected if the target were like the raw text; ratios are 0 unless they are lower by more
-than MIN_SIGMA deviations, as rare words carry no evidence and positive ratios reward length. A
-document's importance weight is the sum over its features. The number k of documents to keep is
-how many reach the cutoff that best splits the held-out labels; the sample is the k greatest
-values of ``weight / TEMPERATURE + Gumbel noise`` of the document's id: resampling without
-replacement.
+count expected if the target were like the raw text; ratios are 0 unless t is more than MIN_SIGMA
+deviations away (PAIR_SIGMA for pairs of words, of which there are so many that some lie far off by
+chance). A document's importance weight is the sum of its features' negative ratios plus the mean,
+over all its features, of the positive ones: those are small and on common words, and summed they
+would reward length. The number k of documents to keep is how many reach the cutoff that best splits
+the held-out labels; the sample is the k greatest values of ``weight / TEMPERATURE + Gumbel noise``
+of the document's id: resampling without replacement, with odds that fall by e for each TEMPERATURE
+of weight. Gumbel noise has hardly any lower tail, so texts well above the cutoff stay.
 
 Edge cases: null and empty texts have no features and weight 0; a null doc_id has no label;
 several labels of a document count as the worst; without good or without bad labels everything
-has weight 0 or the cutoff CUTOFF holds; rows of equal keys (repeated rows) are kept or left
-together; an empty table gives no rows; columns of the input pass unread.
+has weight 0 or the cutoff CUTOFF holds; ties: rows of equal keys (repeated rows) are kept or left
+together, so more than k may stay; an empty table gives no rows; columns of the input pass unread.
 """
 
 from __future__ import annotations
@@ -35,18 +37,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, map_arrow, small_batches
+from quillstone.llm.common import cut, drop, map_arrow, small_batches
+from quillstone.llm.shingles import mix
 
+#: Buckets of single features and pairs of shapes, and as many beyond them of pairs of words.
 BUCKETS = 1 << 18
 MAX_LABELS = 20_000
 HELD_OUT = 5
 C = 2.0
-MIN_SIGMA = 3.0
+MIN_SIGMA, PAIR_SIGMA = 3.0, 6.0
 #: Where the labels do not say.
 CUTOFF = -1.0
 #: Share of documents that may be lost among the good for one more found among the bad, in choosing the cutoff.
 GOOD_COST = 3.0
-TEMPERATURE = 0.02
+TEMPERATURE = 0.1
 #: Tokens that a worker remembers before it starts anew.
 TOKENS = 400_000
 
@@ -90,32 +94,38 @@ def look_at(token: str) -> tuple[str, tuple[int, ...]]:
     return s, (shape_bucket(s), *[bucket("w", w.lower()) for w in _CORE.findall(token)])
 
 
+def pairs_of(ids: np.ndarray, beyond: int) -> np.ndarray:
+    """Buckets of the pairs of neighbouring ids, from `beyond` on."""
+    return (mix(ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(ids[1:])) % np.uint64(BUCKETS)).astype(np.int64) + beyond
+
+
 class Features:
-    """Sets of buckets of texts; tables of tokens and shapes are bounded."""
+    """Sets of buckets of texts; tables of tokens are bounded."""
 
     def __init__(self):
-        self.shapes: dict[str, str] = {}
+        self.shapes: dict[str, int] = {}
+        self.words: dict[str, int] = {}
         self.buckets: dict[str, tuple[int, ...]] = {}
-        self.pair = lru_cache(200_000)(lambda p: bucket("p", f"{p[0]} {p[1]}"))
 
     def of(self, text: str | None) -> np.ndarray:
         tokens = (text or "").split()
         if not tokens:
             return np.empty(0, np.int64)
-        shapes, buckets, out = self.shapes, self.buckets, set()
+        shapes, words, buckets, single = self.shapes, self.words, self.buckets, set()
         for t in set(tokens):
             b = buckets.get(t)
             if b is None:
-                shapes[t], b = look_at(t)
-                buckets[t] = b
-            out.update(b)
-        line = [shapes[t] for t in tokens]
-        out.update(map(self.pair, set(zip(line, line[1:], strict=False))))
+                _, b = look_at(t)
+                # the shape's bucket comes first, then those of words
+                shapes[t], words[t], buckets[t] = b[0], b[-1] if len(b) > 1 else b[0] + BUCKETS, b
+            single.update(b)
         repeats = sum(map(eq, tokens, tokens[1:]))
-        out.add(bucket("r", str(10 * repeats // len(tokens))))
+        single.add(bucket("r", str(10 * repeats // len(tokens))))
+        n = len(tokens)
+        line = [np.fromiter(map(ids.__getitem__, tokens), np.uint64, n) for ids in (shapes, words)]
         if len(buckets) > TOKENS:
-            shapes.clear(), buckets.clear()
-        return np.fromiter(out, np.int64, len(out))
+            shapes.clear(), words.clear(), buckets.clear()
+        return np.unique(np.concatenate([np.fromiter(single, np.int64, len(single)), pairs_of(line[0], 0), pairs_of(line[1], BUCKETS)]))
 
 
 @lru_cache(1)
@@ -137,7 +147,7 @@ def count_models(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = held_features()
-        raw, target, rows, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0, 0
+        raw, target, rows, good = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64), 0, 0
         for b in batches:
             for text, is_good in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 f = features.of(text)
@@ -162,16 +172,20 @@ class Model:
 
     @classmethod
     def fit(cls, bucket: np.ndarray, raw: np.ndarray, target: np.ndarray) -> Model:
-        ratios = np.zeros(BUCKETS, np.float32)
+        ratios = np.zeros(2 * BUCKETS, np.float32)
         total = bucket == -1
         n, m = int(raw[total].sum()), int(target[total].sum())
         if n and m:
             at = bucket >= 0
             t, e = target[at].astype(float), raw[at] * (m / n)
-            sure = e - t > MIN_SIGMA * np.sqrt(e)
+            sure = np.abs(e - t) > np.where(bucket[at] < BUCKETS, MIN_SIGMA, PAIR_SIGMA) * np.sqrt(e)
             ratios[bucket[at]] = np.where(sure, np.log((t + C) / (e + C)), 0)
         return cls(ratios)
 
+    def weight(self, features: np.ndarray) -> float:
+        r = self.ratios[features]
+        return float(np.minimum(r, 0).sum() + (np.maximum(r, 0).mean() if len(r) else 0))
+
 
 def weigh(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of docs and weight, a double, of the column text."""
@@ -181,10 +195,10 @@ def weigh(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = names.index(text)
 
     def make():
-        features, ratios = held_features(), shared.value
+        features, model = held_features(), Model(shared.value)
 
         def work(batch: pa.RecordBatch):
-            found = [float(ratios[features.of(t)].sum()) for t in batch.column(at).to_pylist()]
+            found = [model.weight(features.of(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, "weight"])
 
         return work
@@ -249,6 +263,7 @@ def choose(docs: DataFrame, labels: DataFrame, whole: bool) -> Choice:
     keys = cut(weighed.select(*(own.columns if whole else []), F.col(doc_id).alias("doc_id"), "weight", key_column(doc_id).alias("key")))
     held = keys.join(F.broadcast(chosen.where("_held")), "doc_id").select("weight", "_good").toPandas()
     cutoff = best_cutoff(held["weight"].to_numpy(float), held["_good"].to_numpy(bool)) if len(held) else CUTOFF
+    drop(chosen)
     k = keys.where(F.col("weight") >= cutoff).count()
     return Choice(model, cutoff, k, kth_largest(keys, "key", k) if k else None, keys)
 

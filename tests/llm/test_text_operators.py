@@ -137,6 +137,35 @@ def test_resampling_keeps_good_and_drops_bad(spark):
     assert resampling.resample(df, labels.limit(0)).count() == 522
 
 
+def test_inclusion_rates_follow_the_weights(spark):
+    """Of texts of weight 0, -T and -2T one is drawn in 2,000 rounds: odds 1 to 1/e to 1/e^2."""
+    t = resampling.TEMPERATURE
+    df = spark.createDataFrame([(i, -t * i) for i in range(3)], "doc_id bigint, weight double").crossJoin(spark.range(2000).withColumnRenamed("id", "seed"))
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "seed"), 12).cast("double") + 0.5) / 2.0**52
+    drawn = df.groupBy("seed").agg(F.max_by("doc_id", F.col("weight") / t - F.ln(-F.ln(u))).alias("i")).groupBy("i").count().collect()
+    odds = np.exp(-np.arange(3))
+    assert {r.i: r["count"] / 2000 for r in drawn} == pytest.approx(dict(enumerate(odds / odds.sum())), abs=0.035)
+    same = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0.0).alias("weight"))
+    noise = same.select((resampling.key_column("doc_id") - F.col("weight") / t).alias("g")).toPandas()["g"]
+    assert noise.mean() == pytest.approx(0.5772, abs=0.03) and noise.std() == pytest.approx(np.pi / 6**0.5, abs=0.03)
+
+
+def test_the_sample_is_no_threshold(spark):
+    """Texts near the cutoff stay by chance, the more the heavier; the rest by weight."""
+    weights = np.repeat([0.0, -0.9, -1.1, -1.6, -4.0], 2000)
+    df = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "doc_id bigint, weight double").withColumn("key", resampling.key_column("doc_id"))
+    least = resampling.kth_largest(df, "key", 4000)
+    rate = {r.weight: r.n / 2000 for r in df.where(F.col("key") >= least).groupBy("weight").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert rate[0.0] == 1 and 0.5 < rate[-0.9] < 1 and 0 < rate[-1.6] < rate[-1.1] < rate[-0.9] and -4.0 not in rate
+
+
+def test_features_are_words_shapes_and_pairs():
+    f = resampling.Features()
+    one, two = f.of("Good day, sir"), f.of("sir day, Good")
+    assert len(np.setdiff1d(one, two)) and len(np.intersect1d(one, two)) >= 5 and not len(f.of(" ")) and not len(f.of(None))
+    assert (one >= resampling.BUCKETS).sum() == 2 and f.of("x").max() < resampling.BUCKETS
+
+
 def test_kth_largest(spark):
     values = [float(x) for x in np.random.default_rng(0).normal(size=500).round(2)] + [5.0] * 20
     df = spark.createDataFrame([(v,) for v in values], "key double")
