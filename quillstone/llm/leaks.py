@@ -7,17 +7,19 @@ into e + 1 pieces: whatever e edits do, one piece stays whole, so the exact hits
 hit, as long as the item and e characters on either side, is verified by Myers's bit-parallel
 distance between the item and any substring.
 
-Items travel to the workers in blocks of bounded size; the documents are read once per block, so
-any number of items is handled. Items that normalise to fewer than MIN_CHARS characters are
+Items travel to the workers in blocks of bounded size; the documents are read once per block, one
+block after the other, so any number of items is handled and one block at a time is in the driver. Items that normalise to fewer than MIN_CHARS characters are
 matched without edits and as whole words only, however common they are.
 
 Edge cases: null and empty texts and items match nothing; equal items give a row each; repeated
-documents give repeated results; empty tables give no rows; other columns are ignored.
+documents give repeated results; texts are read whole; ties: of matches of equal distance the first
+counts; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import map_arrow
+from quillstone.llm.common import cut, map_arrow
 
-ERRORS = 16
+ERRORS = 12
 MIN_CHARS = 40
 #: UTF-8 bytes of items in a block.
 BLOCK_BYTES = 2_000_000
@@ -144,18 +146,18 @@ class Matcher:
         return out
 
 
-def blocks(items: DataFrame, size: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
-    """Items in blocks of at most size bytes (a larger item alone). Rows come one at a time, so only one block is ever held on the way."""
-    out: list[list[tuple[int, str]]] = []
-    held, total = [], 0
+def blocks(items: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of at most size bytes (a larger item alone), one after the other; at least one, which may be empty."""
+    held, total, any_ = [], 0, False
     for r in items.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
         n = len(r["text"].encode("utf-8", "surrogatepass"))
         if held and total + n > size:
-            out.append(held)
-            held, total = [], 0
+            yield held
+            held, total, any_ = [], 0, True
         held.append((r["item_id"], r["text"]))
         total += n
-    return [*out, held] if held else out
+    if held or not any_:
+        yield held
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, errors: int = ERRORS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -177,13 +179,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, errors: int = ERRORS, block_by
 
         return map_arrow(docs, make, schema)
 
-    found = [one(b) for b in blocks(items, block_bytes)] or [one([])]
+    parts = blocks(items, block_bytes)
+    block, following = next(parts), next(parts, None)
+    if following is None:
+        return one(block)
+    # several blocks: each one's finds are written before the next is held
+    found = [cut(one(block))]
+    while following is not None:
+        found.append(cut(one(following)))
+        following = next(parts, None)
     return reduce(DataFrame.unionByName, found)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, errors: int = ERRORS) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, errors: int = ERRORS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no item was found, all their columns. Rows with a null doc_id are judged by their text like others."""
-    parts = blocks(items)
     names = docs.columns
     at = names.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -199,4 +208,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, errors: int = ERRORS) -> Da
 
         return map_arrow(docs, make, schema)
 
-    return reduce(one, parts, docs)
+    parts = blocks(items, block_bytes)
+    docs, following = one(docs, next(parts)), next(parts, None)
+    while following is not None:
+        # what is left is written before the next block is held
+        left = cut(docs)
+        docs, following = one(left, following), next(parts, None)
+    return docs

@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters and digits and of any non-ASCII characters, lower-cased in A-Z
 only. All phrases are in one automaton over the words joined by single spaces, so one pass finds
-every place of every phrase, overlapping ones too. The words after an identifier tag are read
-from the raw text as a licence expression of names, "and", "or", "with" and brackets; the parser
+every place of every phrase, overlapping ones too. The rest of the line after an identifier tag's colon is
+read from the raw text as a licence expression of names, "and", "or", "with" and brackets; the parser
 turns it into postfix and evaluates the least restriction that satisfies it.
 
 Score: how restrictive the reading of the document's licences is, from 0 (none found, or public
@@ -11,7 +11,7 @@ domain) to 1 (all rights reserved). "or" takes the lesser, "and" the greater of
 "with" an exception relieves its side by a quarter; a document takes the greatest of its findings.
 
 Edge cases: a null text is an empty one, with no words, no labels and score 0; texts are scanned
-whole, however long; repeated rows give repeated results; an empty table gives no rows; other
+whole, however long, in linear time; ties do not arise, as places are extremes and labels a set; repeated rows give repeated results; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -36,7 +37,8 @@ NOTICES = {
 }
 #: Words of an identifier tag; the expression follows them on the same line.
 TAGS = ("spdx license identifier", "license expression")
-TAG_LINE = re.compile(r"(?:spdx-license-identifier|license-expression)[ \t]*:[ \t]*([^\r\n]*)", re.I)
+TAG_REST = re.compile(rb"[ \t]*:[ \t]*([^\r\n]*)")
+RAW_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 #: Restriction of a label or a licence name, by its beginning; the longest beginning counts.
 RESTRICTION = {
@@ -96,7 +98,10 @@ def to_postfix(text: str) -> list[str]:
         else:
             if not wants_name:
                 break
-            out.append(low.rstrip(".:-"))
+            name = low.rstrip(".:-")
+            if not name:
+                break
+            out.append(name)
             wants_name = False
     if wants_name or "(" in held:
         return []
@@ -123,28 +128,38 @@ def evaluate(postfix: list[str]) -> tuple[float, list[str]]:
     return stack[0]
 
 
+def after_tags(raw: str, last_words: list[int]) -> list[str]:
+    """What follows the colon after each of the words of the given numbers, up to the end of the line."""
+    data = raw.encode("utf-8", "surrogatepass")
+    ends = [m.end() for m in RAW_WORD.finditer(data)]
+    found = [TAG_REST.match(data, ends[k]) for k in last_words]
+    return [m[1].decode("utf-8", "replace") for m in found if m]
+
+
 def scan(text: str | None, machine: ahocorasick.Automaton) -> dict:
     raw = text or ""
     words = spaced(raw)
-    base, labels, places, score, tagged = set(), set(), [], 0.0, False
+    base, labels, starts, tags = set(), set(), [], []
     for end, (length, uses) in machine.iter(words):
         for kind, label in uses:
             if kind == "tag":
-                tagged = True
+                tags.append(end)
                 continue
             labels.add(label)
             if kind == "base":
                 base.add(label)
-                places.append(words.count(" ", 0, end - length + 1))
+                starts.append(end - length + 1)
+    # the number of a word is that of the spaces before it
+    spaces = np.flatnonzero(np.frombuffer(words.encode("latin-1"), np.uint8) == 0x20) if starts or tags else None
+    places = np.searchsorted(spaces, starts).tolist() if starts else []
     score = max((restriction(x) for x in labels), default=0.0)
     expressions = []
-    if tagged:
-        for m in TAG_LINE.finditer(raw):
-            if postfix := to_postfix(m.group(1)):
-                value, names = evaluate(postfix)
-                score = max(score, value)
-                labels.update(names)
-                expressions.append(" ".join(postfix))
+    for rest in after_tags(raw, (np.searchsorted(spaces, tags) - 1).tolist()) if tags else ():
+        if postfix := to_postfix(rest):
+            value, names = evaluate(postfix)
+            score = max(score, value)
+            labels.update(names)
+            expressions.append(" ".join(postfix))
     return {
         "n_words": words.count(" ") - 1, "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "expressions": "; ".join(expressions),

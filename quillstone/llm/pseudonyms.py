@@ -1,15 +1,18 @@
 """PII: format-preserving Feistel pseudonyms.
 
 Values are found by shape and kept only if they validate: card numbers by Luhn, account numbers
-by mod 97, telephone numbers by their digits, IPv4 addresses by octets, social security numbers
+by mod 97, telephone numbers by their digits, IP addresses by their parts, social security numbers
 by their blocks, dates by the calendar, mail addresses by their parts, secrets by length and
-digits. A value becomes a number in the domain of its format, a keyed Feistel network permutes
+digits or by the prefix of their issuer. Where a run of digit groups or capitals is no number as a
+whole, its parts between separators are tried, the longest first. A value becomes a number in the domain of its format, a keyed Feistel network permutes
 the domain (numbers that leave it walk on until they are back in), and the result is written in
 the same layout. The permutation of a format is one-to-one, so equal values stay equal in all
-documents, however they are spaced, and different ones stay different.
+documents, however they are spaced, and different ones stay different. Dates that only make sense
+month first have a permutation of their own, among dates that only make sense so: else two of
+different order could get the same pseudonym.
 
 Edge cases: a null text stays null; texts are read whole; a one-to-one map may leave one value of
-a format's whole domain as it is; repeated rows give repeated results; an empty table gives no rows; columns other than
+a format's whole domain as it is; ties: of values that overlap the first counts, of those the longest; repeated rows give repeated results; an empty table gives no rows; columns other than
 the text pass unread.
 """
 
@@ -17,8 +20,10 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -79,11 +84,17 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 ACCENTED = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 
 
+@lru_cache(4096)
 def alphabet_of(c: str) -> str:
+    """The characters that may stand for c: of its kind, among 128 neighbours where it is not ASCII; itself if it is neither letter nor digit."""
     for known in (DIGITS, LOWER, UPPER, ACCENTED):
         if c in known:
             return known
-    return c
+    kind = unicodedata.category(c)
+    if kind[0] not in "LN":
+        return c
+    first = ord(c) // 128 * 128
+    return "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind and x not in ACCENTED)
 
 
 def luhn_digit(payload: str) -> str:
@@ -101,9 +112,33 @@ def only_digits(text: str) -> str:
     return "".join(c for c in text if c in DIGITS)
 
 
+def is_card(d: str) -> bool:
+    return 13 <= len(d) <= 19 and luhn_digit(d[:-1]) == d[-1] and len(set(d)) > 1
+
+
+def card_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of card numbers in a run of digit groups: the run, or at each group the longest that validates and is grouped as cards are (by fours, 4-6-4, 4-6-5, or not at all)."""
+    groups = [m.span() for m in GROUP.finditer(text)]
+    if min(b - a for a, b in groups) > 1 and is_card(only_digits(text)):
+        return [(0, len(text))]
+    out, k = [], 0
+    while k < len(groups):
+        sizes, found = [], None
+        for j in range(k, min(len(groups), k + 5)):
+            sizes.append(groups[j][1] - groups[j][0])
+            by_fours = set(sizes[:-1]) == {4} and sizes[-1] <= 4
+            if (len(sizes) == 1 or by_fours or sizes in ([4, 6, 4], [4, 6, 5])) and is_card(only_digits(text[groups[k][0] : groups[j][1]])):
+                found = j
+        if found is not None:
+            out.append((groups[k][0], groups[found][1]))
+            k = found
+        k += 1
+    return out
+
+
 def card(f: Feistel, text: str) -> str | None:
     d = only_digits(text)
-    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
+    if not is_card(d):
         return None
     payload = f.characters(d[1:-1], [DIGITS] * (len(d) - 2), f"card{d[0]}")
     return relaid(text, d[0] + payload + luhn_digit(d[0] + payload))
@@ -154,21 +189,53 @@ def date(f: Feistel, text: str, order: str, separator: str) -> str | None:
         return None
     if not 0 <= day < DAYS:
         return None
-    out = datetime.date.fromordinal(DAY0 + f.permute(day, DAYS, "date"))
+    # month first is tried last, so it has dates that no other reading has: their day is no month
+    only = order == "mdy"
+    while True:
+        day = f.permute(day, DAYS, "date" + only * "mdy")
+        out = datetime.date.fromordinal(DAY0 + day)
+        if not only or out.day > 12:
+            break
     return separator.join({"y": f"{out.year:04d}", "m": f"{out.month:02d}", "d": f"{out.day:02d}"}[k] for k in order)
 
 
+def is_iban(compact: str) -> bool:
+    return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+
+
+def iban_end(text: str) -> int | None:
+    """Where the account number that text begins with ends: the longest that validates and ends at a separator."""
+    ends = [len(text), *(m.start() for m in re.finditer(" ", text))]
+    return max((e for e in ends if is_iban(text[:e].replace(" ", ""))), default=None)
+
+
 def iban(f: Feistel, text: str) -> str | None:
     compact = text.replace(" ", "")
-    number = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4]))
-    if not 15 <= len(compact) <= 34 or number(compact) % 97 != 1:
+    if not is_iban(compact):
         return None
     body = f.characters(compact[4:], [alphabet_of(c) for c in compact[4:]], "iban" + compact[:2])
-    check = 98 - number(f"{compact[:2]}00{body}") % 97
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{compact[:2]}00")) % 97
     it = iter(f"{compact[:2]}{check:02d}{body}")
     return "".join(c if c == " " else next(it) for c in text)
 
 
+def ipv6(f: Feistel, text: str) -> str | None:
+    try:
+        value = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    if sum(map(bool, text.split(":"))) < 3:
+        return None
+    out = str(ipaddress.IPv6Address(f.permute(value, 1 << 128, "ipv6")))
+    return out.upper() if text != text.lower() else out
+
+
+def token(f: Feistel, text: str) -> str | None:
+    """An issuer's secret: the prefix stays."""
+    head = TOKEN_HEAD.match(text).group()
+    return head + letters(f, text[len(head) :], "token" + head)
+
+
 def letters(f: Feistel, text: str, tweak: str) -> str:
     return f.characters(text, [alphabet_of(c) for c in text], tweak)
 
@@ -184,15 +251,19 @@ NUMBER = re.compile(
     r"|(?<![\d-])(?P<iso>\d{4}-\d{2}-\d{2})(?![\d-])"
     r"|(?<![\d./])(?P<dotted>\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/])"
     r"|(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])"
-    r"|(?<![\dA-Za-z])(?P<card>\d(?:[ -]?\d){12,18})(?![ -]?\d)(?![A-Za-z])"
+    r"|(?<![\dA-Za-z])(?P<card>\d(?:[ -]?\d){12,})(?!\d)(?![A-Za-z])"
     r"|(?P<intl>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4})(?!\d)"
     r"|(?<![\d-])(?P<phone>(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\d-])"
 )
 SECRET = re.compile(r"(?<![0-9a-zA-Z])[0-9a-f]{32,128}(?![0-9a-zA-Z])")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![a-z0-9])")
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
+TOKEN_HEAD = re.compile(r"gh[pousr]_|github_pat_|glpat-|sk[-_](?:live_|test_|proj-)?|pk_(?:live|test)_|xox[abprs]-|AIza|AKIA|ASIA|hf_")
+TOKEN = re.compile(rf"(?<![A-Za-z0-9_-])(?:{TOKEN_HEAD.pattern})[A-Za-z0-9_-]{{16,255}}(?![A-Za-z0-9_-])")
+GROUP = re.compile(r"\d+")
 HAS_DIGIT = re.compile(r"\d")
-LOCAL = re.compile(r"[\w.%+-]{1,64}$")
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
+DOMAIN = re.compile(r"(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,}")
 
 
 def mails(text: str) -> list[tuple[int, int]]:
@@ -215,8 +286,14 @@ def pseudonymise(text: str, f: Feistel, memo) -> tuple[str, list[str]]:
             spans.append((a, b, "email", text[a:b]))
     if HAS_DIGIT.search(text):
         for m in NUMBER.finditer(text):
-            spans.append((m.start(), m.end(), m.lastgroup, m.group()))
-        for kind, pattern in (("secret", SECRET), ("iban", IBAN)):
+            if m.lastgroup == "card":
+                spans += [(m.start() + a, m.start() + b, "card", m.group()[a:b]) for a, b in card_spans(m.group())]
+            else:
+                spans.append((m.start(), m.end(), m.lastgroup, m.group()))
+        for m in IBAN.finditer(text):
+            if end := iban_end(m.group()):
+                spans.append((m.start(), m.start() + end, "iban", m.group()[:end]))
+        for kind, pattern in (("secret", SECRET), ("token", TOKEN), ("ipv6", IPV6)):
             spans += [(m.start(), m.end(), kind, m.group()) for m in pattern.finditer(text)]
     if not spans:
         return text, []
@@ -228,7 +305,7 @@ def pseudonymise(text: str, f: Feistel, memo) -> tuple[str, list[str]]:
         if new is None:
             continue
         out += [text[done:a], new]
-        kinds.append({"iso": "date", "dotted": "date", "intl": "phone"}.get(kind, kind))
+        kinds.append({"iso": "date", "dotted": "date", "intl": "phone", "ipv6": "ip", "token": "secret"}.get(kind, kind))
         done = b
     return "".join(out) + text[done:], kinds
 
@@ -246,7 +323,7 @@ def replacer(key: bytes):
             return date(f, value, "dmy", value[2]) or date(f, value, "mdy", value[2])
         if kind == "iso":
             return date(f, value, "ymd", "-")
-        return {"ip": ipv4, "ssn": ssn, "card": card, "intl": phone, "phone": phone, "secret": secret, "iban": iban}[kind](f, value)
+        return {"ip": ipv4, "ssn": ssn, "card": card, "intl": phone, "phone": phone, "secret": secret, "iban": iban, "ipv6": ipv6, "token": token}[kind](f, value)
 
     return f, memo
 

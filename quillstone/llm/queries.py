@@ -11,10 +11,14 @@ from quillstone.llm import fingerprints, jaccard, leaks, licences, packing, pass
 from quillstone.llm.common import table
 
 SHARDS = 8
-#: Of the pseudonyms; a deployment passes its own.
+#: Of the pseudonyms where the session names none; a deployment sets spark.quillstone.pseudonym.key.
 KEY = "quillstone-example-key"
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.quillstone.pseudonym.key", KEY)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -34,7 +38,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise_documents(table(spark, sf_dir, "documents"), KEY).select("doc_id", "n_values", "kinds", "text")
+    return pseudonyms.pseudonymise_documents(table(spark, sf_dir, "documents"), pseudonym_key(spark)).select("doc_id", "n_values", "kinds", "text")
 
 
 def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

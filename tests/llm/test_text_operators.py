@@ -45,6 +45,17 @@ def test_labels_of_tags(docs):
     assert 0 <= r.score <= 1
 
 
+def test_licences_of_odd_tags_and_very_long_texts(spark, docs):
+    machine = licences.automaton()
+    for tag in ("---", "-->", "", "(", "and"):
+        r = licences.scan(f"All rights reserved\nSPDX-License-Identifier: {tag}\nMIT", machine)
+        assert (r["labels"], r["score"], r["expressions"]) == ("reserved", 1.0, "")
+    assert licences.scan("SPDX license identifier MIT", machine)["labels"] == ""
+    n = 300_000
+    r = licences.scan("é! all Rights\tRESERVED " * n, machine)
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (4 * n, n, 1, 4 * n - 3)
+
+
 def test_edited_texts(docs, texts, none):
     got = fingerprints.edited(docs, buckets=3).collect()
     line = sorted(texts, key=lambda x: (x[0] is None, -(x[0] or 0)))
@@ -88,6 +99,44 @@ def test_pseudonyms(docs, texts, none):
     assert pseudonyms.pseudonymise_documents(none, "k").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "changed"),
+    [
+        ("card 4785 3805 9239 1139 12/26 end", "4785 3805 9239 1139"), ("in 12 4785 3805 9239 1139 5 12", "4785 3805 9239 1139"), ("x DE89 3704 0044 0532 0130 00 BIC COBADEFF y", "DE89 3704 0044 0532 0130 00"),
+        ("an \u0438\u0432\u0430\u043d@\u043f\u043e\u0447\u0442\u0430.example.com", "\u0438\u0432\u0430\u043d@\u043f\u043e\u0447\u0442\u0430.example.com"), ("at 2001:db8:85a3::8a2e:370:7334, 12:30:45", "2001:db8:85a3::8a2e:370:7334"),
+        ("key ghp_16C7e42F292c6912E7710c838347Ae178B4a.", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"), ("abc\n@mail.example.com", ""), ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 std::vector", ""),
+    ],
+)
+def test_values_within_other_text(text, changed):
+    new, kinds = pseudonyms.pseudonymise(text, *pseudonyms.replacer(b"k"))
+    before, _, after = text.partition(changed) if changed else (text, "", "")
+    assert new.startswith(before) and new.endswith(after) and len(kinds) == bool(changed)
+    middle = new[len(before) : len(new) - len(after)]
+    assert changed == middle == "" or changed != middle and re.findall(r"[^\w:]", middle) == re.findall(r"[^\w:]", changed)
+    if changed.startswith("\u0438"):
+        assert not set(middle.split("@")[0]) & set("abcdefghijklmnopqrstuvwxyz")
+
+
+def test_dates_of_either_order_keep_apart():
+    import datetime
+
+    _, memo = pseudonyms.replacer(b"k")
+    days = [datetime.date(2010, 1, 1) + datetime.timedelta(k) for k in range(3000)]
+    dates = {d.strftime(o) for d in days for o in ("%d/%m/%Y", "%m/%d/%Y")}
+    assert len({memo("dotted", x) for x in dates}) == len(dates)
+
+
+def test_the_key_is_the_session_s(spark):
+    from quillstone.llm.queries import KEY, pseudonym_key
+
+    assert pseudonym_key(spark) == KEY
+    spark.conf.set("spark.quillstone.pseudonym.key", "other")
+    try:
+        assert pseudonym_key(spark) == "other"
+    finally:
+        spark.conf.unset("spark.quillstone.pseudonym.key")
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"k")
     for n in (2, 3, 10, 97, 1000):
@@ -223,7 +272,7 @@ def test_leaks_against_edit_distance(spark, docs, none):
     r = Random(5)
     item = " ".join(words(77, 30))
     texts = []
-    for k in range(14):
+    for k in range(24):
         t = list(item)
         for _ in range(k):
             at = r.randrange(len(t))
@@ -239,6 +288,7 @@ def test_leaks_against_edit_distance(spark, docs, none):
     assert leaks.find_leaks(df, items, block_bytes=10).count() == 2 * len(want)
     kept = leaks.without_leaks(df, items)
     assert kept.columns == df.columns and kept.count() == df.count() - len(want)
+    assert leaks.without_leaks(df, items, block_bytes=10).count() == kept.count()
     assert leaks.find_leaks(none, items).count() == 0 and leaks.find_leaks(docs, items.limit(0)).count() == 0
 
 
