@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
+
+Edge cases: texts that are null, empty or blank are kept by every stage and packed as documents of no
+tokens; rows repeated with id and text are near duplicates of each other, so one stays, if the text
+has a word; rows of one id but different texts are judged each by its own text; a null doc_id is
+kept, and is the last choice of its class; columns of the input pass unread, whatever their names,
+up to the last stage; ties are decided by id, then by a hash of the text; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -9,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import jaccard, leaks, packing, pseudonyms, resampling
-from quillstone.llm.common import cut, table
-from quillstone.llm.queries import KEY, tokenizer_path
+from quillstone.llm.common import cut, drop, table
+from quillstone.llm.queries import pseudonym_key, tokenizer_path
 
 #: Near duplicates: five-word shingles, likeness of at least 0.8.
 NEAR = jaccard.Rule(k=5, num=80, den=100)
@@ -33,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms of the same format."""
-    return pseudonyms.pseudonymise_documents(docs, KEY).select(*docs.columns)
+    return pseudonyms.pseudonymise_documents(docs, pseudonym_key(spark)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
