@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,19 +40,18 @@ def all_of(rows: DataFrame, key: str, ok: Column) -> DataFrame:
 
 def dividing(rows: DataFrame, key: str, item: str, wanted: DataFrame) -> DataFrame:
     """Relational division: keys that have every wanted item."""
-    have = rows.select(key, item).distinct().join(F.broadcast(wanted.select(item).distinct()), item, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    have = rows.select(key, item).distinct().join(wanted.select(item).distinct(), item, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = wanted.select(item).distinct().agg(F.count(F.lit(1)).alias("total"))
     return have.join(F.broadcast(total), F.col("n") == F.col("total"), "left_semi").select(key)
 
 
 def match_two_passes(left: DataFrame, right: DataFrame, id_col: str, passes: list[list[str]]) -> DataFrame:
     """Greedy one-to-one matching in passes of equal keys: the k-th left row of a key, by id, gets the k-th right one; matched rows leave. Columns: left_id, right_id, pass."""
-    from pyspark.sql import Window
-
     found = []
     for n, keys in enumerate(passes, 1):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(id_col))
-        a, b = (d.withColumn("_k", rank).select(*keys, "_k", F.col(id_col).alias(side)) for d, side in ((left, "left_id"), (right, "right_id")))
+        # rows without a key match nothing; ranked, they would all meet in one task
+        a, b = (d.dropna(subset=keys).withColumn("_k", rank).select(*keys, "_k", F.col(id_col).alias(side)) for d, side in ((left, "left_id"), (right, "right_id")))
         hit = a.join(b, [*keys, "_k"]).select("left_id", "right_id", F.lit(n).alias("pass"))
         found.append(hit)
         left = left.join(hit.select(F.col("left_id").alias(id_col)), id_col, "left_anti")

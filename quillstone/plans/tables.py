@@ -63,7 +63,7 @@ def field_presence_drift(spark, sf_dir):
     return keys.groupBy("event_type", "key").agg(F.count_if(~F.col("is_new")).alias("n_old"), F.count_if("is_new").alias("n_new"))
 
 
-@query("""SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+', ''), '[?#].*$', ''), '\\{[^}]*\\}', '{}', 'g'), '/[0-9]+', '/{}', 'g') AS visible, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1""")
+@query("""SELECT regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+', ''), '[?#].*$', ''), '\\{[^}]*\\}', '{}', 'g') AS visible, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1""")
 def visible_path(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(paths.visible_path(paths.url_path(F.col("url"))).alias("visible")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -76,14 +76,20 @@ def url_host(spark, sf_dir):
 _SEGMENTS = "list_filter(string_split(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+', ''), '[?#].*$', ''), '/'), lambda s: s <> '')"
 
 
-@query(f"SELECT page_id, coalesce(list_filter({_SEGMENTS}, lambda s: NOT regexp_matches(s, '^(\\{{.*\\}}|[0-9]+)$') AND NOT regexp_matches(s, '^v[0-9]+$'))[1], '') AS resource FROM pages")
+@query(f"SELECT page_id, coalesce(list_filter({_SEGMENTS}, lambda s: NOT regexp_matches(s, '[{{}}]|^%') AND NOT regexp_matches(lower(s), '^(v[0-9]+|api|2010-04-01)$'))[1], '') AS resource FROM pages")
 def resource_of(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", paths.resource_of(paths.url_path(F.col("url"))).alias("resource"))
 
 
-@query(f"SELECT page_id, coalesce(list_filter(list_transform(string_split(list_aggregate(list_transform({_SEGMENTS}, lambda s: CASE WHEN regexp_matches(s, '^(\\{{.*\\}}|[0-9]+)$') THEN '{{}}' ELSE s END), 'string_agg', '/'), '{{}}'), lambda r: regexp_replace(r, '^/+|/+$', '', 'g')), lambda r: r <> '')[-1], '') AS run FROM pages")
+#: Numbers as holes, so that pages have several runs.
+_HOLED = "regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+', ''), '[?#].*$', ''), '/[0-9]+', '/{}', 'g')"
+
+
+@query(f"""WITH r AS (SELECT page_id, list_filter(list_transform(string_split(list_aggregate(list_transform(list_filter(string_split({_HOLED}, '/'), lambda s: s <> ''), lambda s: CASE WHEN s[1] = '{{' THEN '{{}}' ELSE s END), 'string_agg', '/'), '{{}}'), lambda r: regexp_replace(r, '^/+|/+$', '', 'g')), lambda r: r <> '') AS runs FROM pages)
+SELECT page_id, CASE WHEN coalesce(len(runs), 0) = 0 THEN '' WHEN length(runs[-1]) >= 4 THEN '/' || runs[-1] ELSE '/' || list_filter(runs, lambda r: length(r) = list_max(list_transform(runs, lambda x: length(x))))[1] END AS run FROM r""")
 def static_run(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", paths.static_run(paths.url_path(F.col("url"))).alias("run"))
+    holed = F.regexp_replace(F.regexp_replace(paths.url_path(F.col("url")), r"[?#].*$", ""), "/[0-9]+", "/{}")
+    return table(spark, sf_dir, "pages").select("page_id", paths.static_run(holed).alias("run"))
 
 
 @query("SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous_order FROM orders")
