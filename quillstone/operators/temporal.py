@@ -11,11 +11,6 @@ def previous_in_key(rows: DataFrame, key: str, order: list[str], value: str, nam
     return rows.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
 
 
-def as_of(rows: DataFrame, key: str, at: str, before: Column, value: str) -> DataFrame:
-    """Per key, the value of the latest row before a bound; keys whose history starts later have none."""
-    return rows.groupBy(key).agg(F.max_by(F.when(F.col(at) < before, F.col(value)), F.when(F.col(at) < before, F.col(at))).alias(value), F.min(at).alias("first_at"))
-
-
 def change_only(rows: DataFrame, key: str, order: list[str], digest: str) -> DataFrame:
     """Rows whose digest differs from the row before in their key: what a write-on-change archive stores."""
     before = F.lag(digest).over(Window.partitionBy(key).orderBy(*order))
@@ -25,3 +20,17 @@ def change_only(rows: DataFrame, key: str, order: list[str], digest: str) -> Dat
 def age(rows: DataFrame, key: str, at: str, today: Column) -> DataFrame:
     """Per key, days from its last row to today."""
     return rows.groupBy(key).agg(F.datediff(today, F.max(F.to_date(at))).cast("bigint").alias("age_days"))
+
+
+def late(rows: DataFrame, order: str, at: str, lag: str) -> DataFrame:
+    """Rows that come, in the order of a column, more than `lag` behind the greatest time before them. The greatest is found in ranges of the order and carried over them, so no task sees all rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], 10_000).alias("b")).first()["b"]
+    bounds = sorted(set(found or []))
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    rows = rows.withColumn("_b", bucket)
+    # a row for each range: few
+    tops = rows.groupBy("_b").agg(F.max(at).alias("_top")).withColumn("_before", F.max("_top").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    here = F.max(at).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = rows.join(F.broadcast(tops), "_b").withColumn("_seen", F.greatest(here, "_before"))
+    return seen.where(F.col(at) < F.col("_seen") - F.expr(f"interval {lag}")).drop("_b", "_before", "_seen")

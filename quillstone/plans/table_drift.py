@@ -236,3 +236,35 @@ def _collapsed(rows: DataFrame) -> DataFrame:
         some = part if some is None else some.unionByName(part)
     found = drift.finished(s, some.where("kind in ('param_removed', 'param_now_required', 'param_deprecated', 'request_enum_value_removed')"))
     return drift.collapsed(found).select("vendor", "root_cause", "kind", "op_key", "occurrences", "affected_op_count", F.array_join("affected_ops", ",").alias("affected"))
+
+
+_query(
+    "drift_schema_removals", ["op", "field", "root", "ref", "schema", "schema_field"], lambda rows: drift.removal_reasons(drift.Sides(rows)),
+    _REACH.replace("used AS", "used_any AS")
+    + """, used AS (SELECT vendor, spec_file, schema, bool_or(part = 'request') AS req, bool_or(part = 'response') AS res FROM reach WHERE side = 'old' GROUP BY 1, 2, 3),
+os AS (SELECT vendor, spec_file, key AS schema, type, shape FROM o WHERE facet = 'schema'), ns AS (SELECT vendor, spec_file, key AS schema, type, shape FROM n WHERE facet = 'schema'),
+gone AS MATERIALIZED (SELECT os.* FROM os ANTI JOIN ns USING (vendor, spec_file, schema) SEMI JOIN (FROM files WHERE was AND now_) USING (vendor, spec_file)),
+direct AS MATERIALIZED (SELECT DISTINCT o.vendor, o.spec_file, o.key AS schema, o.op_key FROM o SEMI JOIN gone g ON g.vendor = o.vendor AND g.spec_file = o.spec_file AND g.schema = o.key WHERE facet = 'root'),
+carrying AS MATERIALIZED (SELECT d.*, CASE WHEN req AND res THEN 'all' WHEN req THEN 'request' WHEN res THEN 'response' ELSE 'all' END AS way FROM direct d SEMI JOIN kept USING (vendor, spec_file, op_key) LEFT JOIN used USING (vendor, spec_file, schema)),
+par AS (SELECT e.vendor, e.spec_file, e.src AS parent, g.schema, g.shape FROM edges e JOIN gone g ON e.side = 'old' AND e.vendor = g.vendor AND e.spec_file = g.spec_file AND e.dst = g.schema AND e.src <> g.schema),
+named AS (SELECT DISTINCT e.vendor, e.spec_file, e.src AS parent, ns.shape FROM edges e JOIN ns ON e.side = 'new' AND e.vendor = ns.vendor AND e.spec_file = ns.spec_file AND e.dst = ns.schema),
+judged AS (SELECT par.*, a.schema IS NOT NULL AND b.schema IS NOT NULL AS live, g.schema IS NOT NULL AS removed, named.parent IS NOT NULL OR coalesce(a.shape = b.shape, false) AS same FROM par
+ LEFT JOIN os a ON a.vendor = par.vendor AND a.spec_file = par.spec_file AND a.schema = parent LEFT JOIN ns b ON b.vendor = par.vendor AND b.spec_file = par.spec_file AND b.schema = parent
+ LEFT JOIN gone g ON g.vendor = par.vendor AND g.spec_file = par.spec_file AND g.schema = par.parent LEFT JOIN named ON named.vendor = par.vendor AND named.spec_file = par.spec_file AND named.parent = par.parent AND named.shape = par.shape),
+by_parents AS (SELECT vendor, spec_file, schema, bool_and(removed) AS parents_gone, count(*) FILTER (WHERE live) AS n_live, bool_and(same) FILTER (WHERE live) AS at_parents FROM judged GROUP BY 1, 2, 3),
+of_ AS (SELECT vendor, spec_file, part AS schema, key, shape FROM o WHERE facet = 'schema_field'), nf AS (SELECT vendor, spec_file, part AS other, key, shape FROM n WHERE facet = 'schema_field'),
+offered AS (SELECT c.*, r.key AS other FROM carrying c JOIN n r ON r.facet = 'root' AND r.vendor = c.vendor AND r.spec_file = c.spec_file AND r.op_key = c.op_key AND (way = 'all' OR way = r.part)),
+pr AS (SELECT DISTINCT vendor, spec_file, schema, other, way FROM offered),
+kept_f AS (SELECT pr.vendor, pr.spec_file, pr.schema, pr.other, bool_and(of_.shape IS NOT DISTINCT FROM nf.shape) AS fk FROM pr JOIN of_ USING (vendor, spec_file, schema) LEFT JOIN nf ON nf.vendor = pr.vendor AND nf.spec_file = pr.spec_file AND nf.other = pr.other AND nf.key = of_.key GROUP BY 1, 2, 3, 4),
+fits AS (SELECT pr.vendor, pr.spec_file, pr.schema, pr.other, os.shape = ns.shape OR (way = 'response' AND os.type = ns.type AND coalesce(fk, true)) AS fits FROM pr JOIN os USING (vendor, spec_file, schema) JOIN ns ON ns.vendor = pr.vendor AND ns.spec_file = pr.spec_file AND ns.schema = pr.other LEFT JOIN kept_f k ON k.vendor = pr.vendor AND k.spec_file = pr.spec_file AND k.schema = pr.schema AND k.other = pr.other),
+by_op AS (SELECT o.vendor, o.spec_file, o.schema, o.op_key, bool_or(fits) AS fits FROM offered o JOIN fits USING (vendor, spec_file, schema, other) GROUP BY 1, 2, 3, 4),
+by_roots AS (SELECT c.vendor, c.spec_file, c.schema, count(*) AS n_carrying, bool_and(coalesce(fits, false)) AS renamed FROM carrying c LEFT JOIN by_op USING (vendor, spec_file, schema, op_key) GROUP BY 1, 2, 3),
+vis AS (SELECT DISTINCT side, vendor, spec_file, op_key, split_part(part, '/', 1) AS d, key AS leaf FROM f WHERE facet = 'field'),
+asked AS (SELECT c.*, of_.key AS leaf, EXISTS (FROM vis v WHERE v.side = 'old' AND v.vendor = c.vendor AND v.spec_file = c.spec_file AND v.op_key = c.op_key AND v.leaf = of_.key AND (way = 'all' OR v.d = way)) AS in_old,
+ EXISTS (FROM vis v WHERE v.side = 'new' AND v.vendor = c.vendor AND v.spec_file = c.spec_file AND v.op_key = c.op_key AND v.leaf = of_.key AND (way = 'all' OR v.d = way)) AS in_new FROM carrying c JOIN of_ USING (vendor, spec_file, schema)),
+by_names AS (SELECT vendor, spec_file, schema, bool_and(NOT some_ OR all_) AS stay FROM (SELECT vendor, spec_file, schema, op_key, bool_or(in_old) AS some_, bool_and(in_new) AS all_ FROM asked GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+SELECT g.vendor, g.spec_file, g.schema, CASE WHEN u.schema IS NULL THEN CASE WHEN (g.vendor, g.spec_file) IN (SELECT (vendor, spec_file) FROM reach WHERE side = 'old') THEN 'unreachable' ELSE 'unmeasurable' END
+ WHEN d.schema IS NULL AND coalesce(parents_gone, false) THEN 'subsumed' WHEN d.schema IS NULL AND coalesce(n_live, 0) > 0 AND coalesce(at_parents, false) THEN 'relocated' WHEN d.schema IS NOT NULL AND n_carrying IS NULL THEN 'subsumed'
+ WHEN d.schema IS NOT NULL AND renamed THEN 'renamed' WHEN d.schema IS NOT NULL AND coalesce(stay, false) THEN 'relocated' ELSE '' END AS reason
+FROM gone g LEFT JOIN used u USING (vendor, spec_file, schema) LEFT JOIN (SELECT DISTINCT vendor, spec_file, schema FROM direct) d USING (vendor, spec_file, schema) LEFT JOIN by_parents USING (vendor, spec_file, schema) LEFT JOIN by_roots USING (vendor, spec_file, schema) LEFT JOIN by_names USING (vendor, spec_file, schema)""",
+)
