@@ -29,7 +29,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -100,32 +99,40 @@ def pairs_of(ids: np.ndarray, beyond: int) -> np.ndarray:
 
 
 class Features:
-    """Sets of buckets of texts; tables of tokens are bounded."""
+    """Sets of buckets of texts. Tokens are numbered as they come, and what is known of each is held in arrays; the table is bounded."""
 
     def __init__(self):
-        self.shapes: dict[str, int] = {}
-        self.words: dict[str, int] = {}
-        self.buckets: dict[str, tuple[int, ...]] = {}
+        self.index: dict[str, int] = {}
+        self.shapes, self.words, self.many = (np.empty(1 << 12, t) for t in (np.uint64, np.uint64, bool))
+        self.more: dict[int, tuple[int, ...]] = {}
+
+    def add(self, token: str) -> None:
+        k = self.index[token] = len(self.index)
+        if k == len(self.shapes):
+            self.shapes, self.words, self.many = (np.concatenate([x, np.empty_like(x)]) for x in (self.shapes, self.words, self.many))
+        _, b = look_at(token)
+        # the shape's bucket comes first, then those of words; in pairs of words the last one stands, or the shape
+        self.shapes[k], self.words[k], self.many[k] = b[0], b[-1] if len(b) > 1 else b[0] + BUCKETS, len(b) > 2
+        if len(b) > 2:
+            self.more[k] = b[1:-1]
 
     def of(self, text: str | None) -> np.ndarray:
         tokens = (text or "").split()
         if not tokens:
             return np.empty(0, np.int64)
-        shapes, words, buckets, single = self.shapes, self.words, self.buckets, set()
-        for t in set(tokens):
-            b = buckets.get(t)
-            if b is None:
-                _, b = look_at(t)
-                # the shape's bucket comes first, then those of words
-                shapes[t], words[t], buckets[t] = b[0], b[-1] if len(b) > 1 else b[0] + BUCKETS, b
-            single.update(b)
-        repeats = sum(map(eq, tokens, tokens[1:]))
-        single.add(bucket("r", str(10 * repeats // len(tokens))))
-        n = len(tokens)
-        line = [np.fromiter(map(ids.__getitem__, tokens), np.uint64, n) for ids in (shapes, words)]
-        if len(buckets) > TOKENS:
-            shapes.clear(), words.clear(), buckets.clear()
-        return np.unique(np.concatenate([np.fromiter(single, np.int64, len(single)), pairs_of(line[0], 0), pairs_of(line[1], BUCKETS)]))
+        index = self.index
+        for t in tokens:
+            if t not in index:
+                self.add(t)
+        line = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+        once = np.unique(line)
+        shapes, words = self.shapes[line], self.words[line]
+        word = self.words[once]
+        others = [b for k in once[self.many[once]].tolist() for b in self.more[k]]
+        others.append(bucket("r", str(10 * int(np.count_nonzero(line[1:] == line[:-1])) // len(tokens))))
+        if len(index) > TOKENS:
+            index.clear(), self.more.clear()
+        return np.unique(np.concatenate([self.shapes[once].view(np.int64), word[word < BUCKETS].view(np.int64), np.array(others, np.int64), pairs_of(shapes, 0), pairs_of(words, BUCKETS)]))
 
 
 @lru_cache(1)
