@@ -16,13 +16,14 @@ __all__ = ["ROW", "cut", "drop", "map_arrow", "partitions", "range_bounds", "ran
 ROW = "unhex(concat(lpad(hex(xxhash64(doc_id, text)), 16, '0'), lpad(hex(xxhash64(text, doc_id, 7)), 16, '0')))"
 #: Names of rows are broadcast up to so many, 16 bytes each; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
-#: Rows in an Arrow batch: even of documents of 0.1 MB each it takes a worker 50 MB.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch, whichever is reached first: long texts do not pile up in a Python worker.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that long texts do not pile up in a Python worker."""
+    """Bound the Arrow batches of the session's Python stages. The session keeps the bounds: they are read when a lazy result runs, after this returns."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import partitions, range_bounds, range_bucket
 
+#: Bytes of text in a range of doc_id, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 8192
 #: Longs in a fingerprint.
 WORDS = 2
 BITS = 64 * WORDS
@@ -102,7 +104,11 @@ def edited(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     Each range also holds a copy of the row that follows it.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bounds = range_bounds(rows, "doc_id", buckets or 2 * partitions(docs.sparkSession))
+    if not buckets:
+        # ranges follow the bytes of the texts; their bounds are literals of the plan, so there are at most MOST_RANGES
+        n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(MOST_RANGES, max(2 * partitions(docs.sparkSession), n_bytes // RANGE_BYTES))
+    bounds = range_bounds(rows, "doc_id", buckets)
     bucket = range_bucket(F.col("doc_id"), bounds)
     # a range's highest id is the last value below the next bound; it follows the lowest id of the range above
     highs = rows.groupBy(bucket.alias("_b")).agg(F.max("doc_id").alias("hi")).collect()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ROW, cut, map_arrow, partitions, texts_of
+from quillstone.llm.common import ROW, cut, drop, map_arrow, partitions, some_rows, texts_of
 from quillstone.llm.shingles import BASE, INVERSE, mix, powers
 from quillstone.llm.suffixes import on_disk, sorted_to, suffix_array
 
@@ -166,15 +166,19 @@ def sort_shards(contents: DataFrame, length: int, shards: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(row, a, b): bytes a to b - 1 of a text are covered by a repeated string; spans may overlap."""
+    """(row, a, b): bytes a to b - 1 of a text are covered by a repeated string; spans may overlap. A table of its own, for drop()."""
     every = cut(occurrences(docs, length))
-    several = every.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")
+    # tables of minimizers are cut, so that a join by them can be split where one is hot
+    several = cut(every.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m"))
     held = cut(every.join(several, "m"))
+    drop(every, several)
     kinds = cut(held.groupBy("m", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "s", "e")).alias("one")))
     whole = kinds.where("copies > 1").select("m", "h1", "h2", F.lit(0).cast("long").alias("a"), F.expr("one.e - one.s").alias("b"))
-    mixed = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = cut(kinds.groupBy("m").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     open_ = cut(kinds.join(mixed, "m").select("m", "h1", "h2", "copies", "kinds", "one.row", "one.s", "one.e"))
-    texts = texts_of(docs, open_.select("row").distinct())
+    drop(mixed)
+    rows = cut(open_.select("row").distinct())
+    texts = texts_of(docs, rows)
     wanted = open_.groupBy("row").agg(F.collect_list(F.struct("m", "h1", "h2", "kinds", "s", "e")).alias("w"))
     loaded = texts.join(wanted, "row").select(F.col("text").cast("binary").alias("text"), "w")
 
@@ -201,16 +205,27 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
     hot = contents.where(F.col("kinds") > HOT).select("m", "h1", "h2", "content")
     starts = cut(map_arrow(hot, single_starts, "m bigint, h1 bigint, h2 bigint, a bigint, w1 bigint, w2 bigint"))
-    again = starts.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    drop(open_, rows)
+    again = cut(starts.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"))
     counted = starts.join(again, ["w1", "w2"]).select("m", "h1", "h2", "a", F.col("a").alias("b"))
     found = cut(whole.unionByName(sorted_).unionByName(counted))
-    return held.join(found, ["m", "h1", "h2"]).select("row", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + length).alias("b"))
+    drop(kinds, contents, starts, again)
+    out = cut(held.join(found, ["m", "h1", "h2"]).select("row", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + length).alias("b")).distinct())
+    drop(held, found)
+    return out
 
 
 def removed(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs) and kept (the bytes left) of each document."""
-    by_row = spans(docs, length).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    rows = docs.select("doc_id", F.expr(ROW).alias("row"), F.col("text").cast("binary").alias("text")).join(by_row, "row", "left").select("doc_id", "text", "spans")
+    found = spans(docs, length)
+    # a text's spans are at most as many as its bytes
+    by_row = cut(found.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    touched = cut(by_row.select("row"))
+    drop(found)
+    named = docs.select("doc_id", F.expr(ROW).alias("row"), F.col("text").cast("binary").alias("text"))
+    # only texts that lose something are moved
+    rows = named.join(some_rows(touched), "row", "left_semi").join(by_row, "row").select("doc_id", "text", "spans")
+    rows = rows.unionByName(named.join(some_rows(touched), "row", "left_anti").select("doc_id", "text", F.lit(None).cast(by_row.schema["spans"].dataType).alias("spans")))
 
     def make():
         def work(batch: pa.RecordBatch):

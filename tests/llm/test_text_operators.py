@@ -351,6 +351,47 @@ def test_repeats_against_brute_force(docs, texts, none, hot, monkeypatch):
     assert hot == 1 or repeats.removed(none).count() == 0
 
 
+def test_repeats_of_400_bytes_against_brute_force(spark, docs):
+    r = Random(8)
+    passage = bytes(r.choice(b"abcdefgh ") for _ in range(900)).decode()
+    filler = lambda n: "".join(r.choice("ijklmnop ") for _ in range(n))
+    texts = [(k, filler(r.randrange(600)) + passage[a : a + n] + filler(r.randrange(600))) for k, (a, n) in enumerate([(0, 900), (0, 399), (0, 400), (100, 401), (450, 450), (450, 449), (0, 0), (200, 700)])]
+    texts += [(20, filler(50) * 20), (21, "\u00e9" * 500), (22, "x" * 399), (23, None), (24, filler(300_000) + passage), (24, passage)]
+    data = [(i, (t or "").encode()) for i, t in texts]
+    count = Counter(b[k : k + 400] for _, b in data for k in range(len(b) - 399))
+    want = Counter()
+    for i, b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if count[b[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
+    got = repeats.removed(spark.createDataFrame(rows(texts), docs.schema))
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()) == want
+
+
+def test_fingerprints_against_brute_force(spark, docs, texts):
+    """Votes of every term's hash, bit by bit, in Python; likeness as the share of equal bits."""
+    line = sorted(((i, t or "") for i, t in texts if i is not None), key=lambda x: -x[0])
+    one = {i: t for i, t in line if [j for j, _ in line].count(i) == 1}
+    some = spark.createDataFrame(rows(list(one.items())), docs.schema)
+    got = {r.doc_id: r for r in fingerprints.edited(some, buckets=2).collect()}
+    terms = some.select("doc_id", fingerprints.terms(fingerprints.split_words(F.coalesce("text", F.lit("")))).alias("t"))
+    hashes = terms.select("doc_id", F.transform("t", lambda x: F.struct(x.alias("t"), *[F.xxhash64(x, F.lit(k)).alias(f"h{k}") for k in range(2)])).alias("h")).collect()
+    for r in hashes:
+        want = []
+        for k in range(2):
+            votes = [sum((1 if x[f"h{k}"] >> b & 1 else -1) * (x["t"] & 3) for x in r.h) for b in range(64)]
+            want.append(sum(1 << b for b, v in enumerate(votes) if v > 0))
+        assert [x & (1 << 64) - 1 for x in got[r.doc_id].fp] == want
+    order = sorted(one, reverse=True)
+    for k, i in enumerate(order):
+        assert list(got[i].nfp) == list(got[order[(k + 1) % len(order)]].fp)
+    near = some.sparkSession.createDataFrame([([0, -1], [1, -2])], "a array<bigint>, b array<bigint>").select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).first().x
+    assert near == 1 - 2 / 128
+
+
 def each_class(texts, k, num, den):
     """(doc_id, set size, number of the class or None) of each text, comparing all pairs."""
     sets = []
