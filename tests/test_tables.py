@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from quillstone.plans import tables
+from quillstone.plans import table_code, table_drift, tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,4 +47,5 @@ def test_closure_of_real_keys_against_brute_force(spark, tmp_path):
 def test_entry_imports():
     import __spark_entry__
 
+    assert table_code.table_drift is table_drift and {"path_match", "drift_operations"} <= set(tables.QUERIES)
     assert set(tables.QUERIES) <= set(__spark_entry__.queries()) and set(tables.SQL) <= set(__spark_entry__.oracle_sql())
