@@ -114,6 +114,17 @@ def test_candidates_and_evidence(scanned):
     assert set(got) == kept - {"app/none.py", "app/SKYLINE_KEYS.py", "lib/skyline/model/slot.py"} and got["web/pay.ts"] in ("api.skyline.net", "skyline-sdk") and got["app/read.py"] == "import skyline"
 
 
+def test_walk(spark, tmp_path):
+    for path, text in FILES.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "app/latin.py").write_bytes(b"x = '\xe9'")
+    (tmp_path / "app/large.py").write_text("#" * (files.MAX_BYTES + 1))
+    got = {r.path: r for r in files.walk(spark, str(tmp_path), "me").collect()}
+    assert set(got) == set(FILES) - {"node_modules/x.py", "app/migrations/m.py", "app/notes.md"}
+    assert got["app/log.py"].text == PY_CALL and got["app/log.py"].n_bytes == len(PY_CALL) and got["app/log.py"].repo == "me"
+
+
 def test_verdicts(scanned):
     got = {(r.path, r.kind, r.subject): (r.verdict, r.proof, r.line) for r in scanned[3].verdicts.collect()}
     say = lambda p, k: {s: v for (path, kind, s), v in got.items() if path == p and kind == k}
