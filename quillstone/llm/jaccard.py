@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import ROW, cut, drop, map_arrow, small_batches, some_rows, texts_of
 from quillstone.llm.components import connected
-from quillstone.llm.shingles import mix, shingle_set
+from quillstone.llm.shingles import distinct, mix, shingle_set
 
 #: Tokens in the table of frequent ones (8 bytes each), and in how many documents they must be.
 FREQUENT, LEAST_FREQUENT = 1 << 20, 12
@@ -87,9 +87,9 @@ def signatures(tokens: np.ndarray, rule: Rule, frequent: np.ndarray) -> tuple[np
         common = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
     rare, low = tokens[~common], np.uint64(1)
     if len(rare) >= one:
-        return np.unique(rare[:one] & ~low), None
+        return distinct(rare[:one] & ~low), None
     often = tokens[common][: 2 * (both - len(rare)) + 2]
-    return np.unique(np.concatenate([rare & ~low, mix(often[:-1] * np.uint64(3) + mix(often[1:])) | low])), n - len(rare)
+    return distinct(np.concatenate([rare & ~low, mix(often[:-1] * np.uint64(3) + mix(often[1:])) | low])), n - len(rare)
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def count_frequent(docs: DataFrame, k: int) -> np.ndarray:
 
     small_batches(docs.sparkSession)
     counts = docs.select("text").mapInArrow(run, "token bigint, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()["token"].to_numpy()
     return np.sort(top.view(np.uint64))
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import cut, drop, map_arrow, small_batches
-from quillstone.llm.shingles import mix
+from quillstone.llm.shingles import distinct, mix
 
 #: Buckets of single features and pairs of shapes, and as many beyond them of pairs of words.
 BUCKETS = 1 << 18
@@ -121,18 +121,17 @@ class Features:
         if not tokens:
             return np.empty(0, np.int64)
         index = self.index
-        for t in tokens:
-            if t not in index:
-                self.add(t)
+        for t in set(tokens).difference(index):
+            self.add(t)
         line = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-        once = np.unique(line)
+        once = distinct(line)
         shapes, words = self.shapes[line], self.words[line]
         word = self.words[once]
         others = [b for k in once[self.many[once]].tolist() for b in self.more[k]]
         others.append(bucket("r", str(10 * int(np.count_nonzero(line[1:] == line[:-1])) // len(tokens))))
         if len(index) > TOKENS:
             index.clear(), self.more.clear()
-        return np.unique(np.concatenate([self.shapes[once].view(np.int64), word[word < BUCKETS].view(np.int64), np.array(others, np.int64), pairs_of(shapes, 0), pairs_of(words, BUCKETS)]))
+        return distinct(np.concatenate([self.shapes[once].view(np.int64), word[word < BUCKETS].view(np.int64), np.array(others, np.int64), pairs_of(shapes, 0), pairs_of(words, BUCKETS)]))
 
 
 @lru_cache(1)
@@ -261,8 +260,8 @@ def key_column(doc_id: str) -> Column:
 def choose(docs: DataFrame, labels: DataFrame, whole: bool) -> Choice:
     """Weighs the documents and decides; keys holds doc_id, weight and key, and if whole the columns of docs as _0, _1 and so on: their names may clash."""
     chosen = cut(sample_labels(labels))
-    counts = count_models(docs, chosen).toPandas()
-    model = Model.fit(counts["bucket"].to_numpy(np.int64), counts["raw"].to_numpy(np.int64), counts["target"].to_numpy(np.int64))
+    counts = count_models(docs, chosen).toArrow()
+    model = Model.fit(*(counts[c].to_numpy() for c in ("bucket", "raw", "target")))
     kept = docs.columns if whole else ["doc_id", "text"]
     own = docs.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(kept)])
     doc_id = f"_{kept.index('doc_id')}"

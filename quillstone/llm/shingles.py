@@ -30,6 +30,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers of an array, sorted: for short arrays several times sooner than np.unique."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte strings data[starts[i]:ends[i]]."""
     n = len(data)
@@ -63,4 +69,4 @@ def word_shingles(words: list[bytes], k: int) -> np.ndarray:
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct k-word shingles of a text."""
-    return np.unique(word_shingles(words_of(text), k)) if text else np.empty(0, np.uint64)
+    return distinct(word_shingles(words_of(text), k)) if text else np.empty(0, np.uint64)
