@@ -24,7 +24,7 @@ EMPTY = lambda: F.array().cast("array<string>")
 
 
 def sdk_names(style: Column, path: Column, operation_id: Column, prefixes: Column) -> Column:
-    """How an operation is written with an SDK, by the style of the vendor's."""
+    """How an operation is written with an SDK, by the style of the vendor's. The names of the styles and what each writes."""
     segs = paths.resource_segments(path, prefixes)
     first, last = F.get(segs, F.lit(0)), F.element_at(segs, -1)
     one = names.pascal(F.regexp_replace(first, "s+$", ""))
