@@ -44,3 +44,8 @@ def drop(*tables: DataFrame | None) -> None:
             spark = t.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for t in tables:
+        if t is not None:
+            # shuffle files that only made these tables go once the driver has collected what refers to them
+            t.sparkSession._jvm.System.gc()
+            break
