@@ -92,23 +92,29 @@ def grams(texts: pa.Array, times: np.ndarray, most: int) -> Iterator[tuple[int,
 
 
 def messages(lang: pa.Array, texts: pa.Array, times: np.ndarray, most: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, block) for all n-grams of some pieces."""
+    """(bucket, block) for all n-grams of some pieces: one block for each bucket that has any."""
     codes = pc.dictionary_encode(lang)
     which = codes.indices.to_numpy(zero_copy_only=False)
+    langs, phrases, words, weights, dealt_to = [], [], [], [], []
     for k, name in enumerate(codes.dictionary.to_pylist()):
         here = np.flatnonzero(which == k)
         salt = np.uint64(int.from_bytes(name.encode()[:8].ljust(8, b"\0"), "little"))
-        for n, phrases, sums, marks in grams(texts.take(pa.array(here)), times[here], most):
-            bucket = (mix(marks + salt) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, phrases, sums = bucket[order], phrases.take(pa.array(order)), pa.array(sums[order])
-            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-            for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
-                sink = pa.BufferOutputStream()
-                block = pa.record_batch([pa.array([name] * (b - a)), phrases[a:b], pa.array(np.full(b - a, n, np.int8)), sums[a:b]], schema=GRAMS)
-                with pa.ipc.new_stream(sink, GRAMS, options=IPC) as out:
-                    out.write_batch(block)
-                yield int(bucket[a]), sink.getvalue().to_pybytes()
+        for n, found, sums, marks in grams(texts.take(pa.array(here)), times[here], most):
+            langs.append(np.full(len(found), k, np.int32))
+            phrases.append(found)
+            words.append(np.full(len(found), n, np.int8))
+            weights.append(sums)
+            dealt_to.append((mix(marks + salt) % np.uint64(buckets)).astype(np.int32))
+    bucket = np.concatenate(dealt_to)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], pa.array(order)
+    table = [codes.dictionary.take(pa.array(np.concatenate(langs)[order])), pa.concat_arrays(phrases).take(rows), pa.array(np.concatenate(words)[order]), pa.array(np.concatenate(weights)[order])]
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, GRAMS, options=IPC) as out:
+            out.write_batch(pa.record_batch([c[a:b] for c in table], schema=GRAMS))
+        yield int(bucket[a]), sink.getvalue().to_pybytes()
 
 
 def dealt(found: DataFrame, most: int, buckets: int) -> DataFrame:
@@ -154,10 +160,9 @@ def counted(dealt_out: DataFrame, least: int) -> DataFrame:
             for batch in batches:
                 for message in batch.column(1):
                     for b in pa.ipc.open_stream(message.as_buffer()):
-                        if b["words"][0].as_py() == 1:
-                            # a message holds one language
-                            lang = b["lang"][0].as_py()
-                            totals[lang] = totals.get(lang, 0) + pc.sum(b["weight"]).as_py()
+                        single = pa.Table.from_batches([b]).filter(pc.equal(b["words"], 1)).group_by("lang").aggregate([("weight", "sum")])
+                        for lang, n in zip(single["lang"].to_pylist(), single["weight_sum"].to_pylist(), strict=True):
+                            totals[lang] = totals.get(lang, 0) + n
                         yield b
 
         with tempfile.TemporaryDirectory(prefix="grams-", dir=scratch()) as spill, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": spill, "preserve_insertion_order": False}) as db:
