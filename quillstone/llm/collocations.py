@@ -42,7 +42,8 @@ MEMORY = "400MB"
 BATCH_ROWS, BATCH_BYTES = 1 << 16, 8 << 20
 MESSAGE = "bucket int, block binary"
 COUNTED = "lang string, phrase string, words int, n bigint"
-IPC = pa.ipc.IpcWriteOptions(compression="zstd")
+IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+PACKED = pa.schema([("lang", pa.string()), ("words", pa.int8()), ("phrases", pa.string()), ("weights", pa.list_(pa.int64()))])
 GRAMS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int8()), ("weight", pa.int64())])
 
 
@@ -107,16 +108,30 @@ def messages(lang: pa.Array, texts: pa.Array, times: np.ndarray, most: int, buck
             dealt_to.append((mix(marks + salt) % np.uint64(buckets)).astype(np.int32))
     bucket = np.concatenate(dealt_to)
     order = np.argsort(bucket, kind="stable")
-    bucket, rows = bucket[order], pa.array(order)
-    table = [codes.dictionary.take(pa.array(np.concatenate(langs)[order])), pa.concat_arrays(phrases).take(rows), pa.array(np.concatenate(words)[order]), pa.array(np.concatenate(weights)[order])]
+    bucket, lang_of, words_of = bucket[order], np.concatenate(langs)[order], np.concatenate(words)[order]
+    # one row for each bucket, language and length: phrases without offsets take half the room
+    new = (bucket[1:] != bucket[:-1]) | (lang_of[1:] != lang_of[:-1]) | (words_of[1:] != words_of[:-1])
+    first = np.flatnonzero(np.append(True, new))
+    bounds = pa.array(np.append(first, len(bucket)).astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(bounds, pa.concat_arrays(phrases).take(pa.array(order))), "\n")
+    weighed = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(weights)[order]))
+    table = [codes.dictionary.take(pa.array(lang_of[first])), pa.array(words_of[first]), joined, weighed]
+    bucket = bucket[first]
     starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, GRAMS, options=IPC) as out:
-            out.write_batch(pa.record_batch([c[a:b] for c in table], schema=GRAMS))
+        with pa.ipc.new_stream(sink, PACKED, options=IPC) as out:
+            out.write_batch(pa.record_batch([c[a:b] for c in table], schema=PACKED))
         yield int(bucket[a]), sink.getvalue().to_pybytes()
 
 
+def unpacked(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A message's n-grams, one a row."""
+    phrases = pc.split_pattern(b["phrases"], "\n")
+    row = pa.array(np.repeat(np.arange(b.num_rows), pc.list_value_length(phrases).to_numpy(zero_copy_only=False)))
+    return pa.record_batch([b["lang"].take(row), phrases.flatten(), b["words"].take(row), b["weights"].flatten()], schema=GRAMS)
+
+
 def dealt(found: DataFrame, most: int, buckets: int) -> DataFrame:
     """Messages of the weighted n-grams of distinct pieces."""
 
@@ -159,7 +174,8 @@ def counted(dealt_out: DataFrame, least: int) -> DataFrame:
         def incoming() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for message in batch.column(1):
-                    for b in pa.ipc.open_stream(message.as_buffer()):
+                    for packed in pa.ipc.open_stream(message.as_buffer()):
+                        b = unpacked(packed)
                         single = pa.Table.from_batches([b]).filter(pc.equal(b["words"], 1)).group_by("lang").aggregate([("weight", "sum")])
                         for lang, n in zip(single["lang"].to_pylist(), single["weight_sum"].to_pylist(), strict=True):
                             totals[lang] = totals.get(lang, 0) + n

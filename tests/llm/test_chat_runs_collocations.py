@@ -251,10 +251,10 @@ def test_counts_spill_and_leave_nothing_behind(spark, monkeypatch, tmp_path):
 
             os.environ["SPARK_LOCAL_DIRS"] = str(tmp_path)
             for part in range(2):
-                phrases = pa.array([f"{'long words ' * 12}{k % n}" for k in range(part * n // 2, n + part * n // 2)])
-                block = pa.record_batch([pa.array(["en"] * n), phrases, pa.array(np.full(n, 3, np.int8)), pa.array(np.ones(n, np.int64))], schema=collocations.GRAMS)
+                phrases = "\n".join(f"{'long words ' * 12}{k % n}" for k in range(part * n // 2, n + part * n // 2))
+                block = pa.record_batch([["en"], pa.array([3], pa.int8()), [phrases], [np.ones(n, np.int64)]], schema=collocations.PACKED)
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, collocations.GRAMS, options=collocations.IPC) as out:
+                with pa.ipc.new_stream(sink, collocations.PACKED, options=collocations.IPC) as out:
                     out.write_batch(block)
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "block"])
 
