@@ -35,11 +35,11 @@ from quillstone.llm.common import cut, partitions
 from quillstone.llm.shingles import mix, span_hashes
 
 #: Words and bytes of pieces that a task counts at once, whichever is reached first.
-BLOCK_WORDS, BLOCK_BYTES = 1 << 20, 8 << 20
+BLOCK_WORDS, BLOCK_BYTES = 1 << 19, 4 << 20
 #: Of duckdb in a task.
-MEMORY = "400MB"
+MEMORY = "300MB"
 #: Rows of pieces in an Arrow batch; their bytes are bounded too.
-BATCH_ROWS, BATCH_BYTES = 1 << 16, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1 << 16, 4 << 20
 MESSAGE = "bucket int, block binary"
 COUNTED = "lang string, phrase string, words int, n bigint"
 IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
