@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import names, paths
+from quillstone.plans import prefilter
 from quillstone.sources import files
 from quillstone.sources.scratch import cut
 
@@ -89,7 +90,11 @@ def calls_by_sdk(calls: DataFrame, findings: DataFrame, ops: DataFrame) -> DataF
     """Calls on a value that came from the vendor: in a form that the finding's signatures list, or whose names in the middle are the path's last segments, singular or plural."""
     ours = calls.where("from_vendor")
     idioms = findings.select(ID, "vendor", F.explode(F.transform(F.filter("signatures", lambda s: F.length(s) > 6), lambda s: F.regexp_replace(s, r"[.(]+$", ""))).alias("idiom"))
-    by_idiom = ours.join(idioms, "vendor").where("startswith(chain, idiom)").withColumn("own", F.lit(True))
+    # all names of an idiom but its last are whole, so the first one is looked up; of a single name the beginning is compared
+    idioms = idioms.withColumn("head", F.when(F.col("idiom").contains("."), F.split_part("idiom", F.lit("."), F.lit(1))))
+    headed = ours.withColumn("head", F.split_part("chain", F.lit("."), F.lit(1))).join(idioms.where("head IS NOT NULL"), ["vendor", "head"]).drop("head")
+    single_name = ours.join(idioms.where("head IS NULL").drop("head"), "vendor")
+    by_idiom = headed.unionByName(single_name).where("startswith(chain, idiom)").withColumn("own", F.lit(True))
     single = lambda a: F.transform(a, lambda s: F.regexp_replace(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]", "")), "s$", ""))
     parts = F.split("chain", r"\.")
     middle = single(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))))
@@ -128,17 +133,21 @@ def evidence(facts: DataFrame, findings: DataFrame, detected: DataFrame, vendors
 
 
 def verdicts(sources: DataFrame, facts: DataFrame, findings: DataFrame, detected: DataFrame, vendors: DataFrame) -> DataFrame:
-    """repo, path, finding_id, vendor, kind, subject, severity, verdict, proof (its kind), line, text, chain: one row for each finding of a vendor that a file speaks of.
+    """repo, path, finding_id, vendor, kind, subject, severity, verdict, proof (its kind), line, text, chain: one row for each finding of a vendor that a file speaks of and shares a term with.
+
+    Files and findings that share no term (prefilter.pairs) could not be proven, and never meet.
 
     Gates come first: generated files, copies of packages, languages that cannot be read, files that
     could not be, and files that pin a vendor's version, for which the change has not arrived.
     """
     # a finding has a path of its own, which is none of a file
-    found = proves(findings).select(ID, "vendor", "kind", "subject", "severity", "root_cause", "by_read", "by_send", "by_call", "by_absence")
+    proven = cut(proves(findings))
+    met = cut(prefilter.pairs(sources, detected, proven, operations(proven)))
+    found = proven.select(ID, "vendor", "kind", "subject", "severity", "root_cause", "by_read", "by_send", "by_call", "by_absence")
     gates = sources.select(*FILE, files.language(F.col("path")).alias("language"), files.looks_generated(F.col("text")).alias("is_generated"), "text").join(detected.select(*FILE, "vendor"), FILE)
     gates = gates.join(vendors.select(F.col("key").alias("vendor"), "package_dir"), "vendor").withColumn("is_library", files.looks_like_a_library(F.col("text"), F.col("path"), F.col("package_dir"))).drop("text", "package_dir")
     odd = facts.where("fact in ('unreadable', 'pin')").groupBy(*FILE).agg(F.bool_or(F.col("fact") == "unreadable").alias("unreadable"), F.bool_or(F.col("fact") == "pin").alias("pinned"))
-    rows = gates.join(odd, FILE, "left").join(found, "vendor").join(evidence(facts, findings, detected, vendors), ROLE, "left")
+    rows = gates.join(odd, FILE, "left").join(met, FILE).join(found, [ID, "vendor"]).join(evidence(facts, findings, detected, vendors), ROLE, "left")
     has = lambda c: F.col(c).isNotNull()
     js = F.col("language") != "Python"
     # in JavaScript, endpoints and absences are judged by the finding's own operation alone
@@ -174,17 +183,3 @@ def relevance(facts: DataFrame, additions: DataFrame, detected: DataFrame, vendo
     order = F.struct(files.is_incidental(F.col("path")).alias("i"), "repo", "path")
     first = hits.groupBy(ID).agg(F.min_by(F.struct("repo", "path", "reached"), order).alias("x"))
     return first.select(ID, "x.repo", "x.path", "x.reached.*")
-
-
-def may_match(text: Column, terms: Column) -> Column:
-    """A sound first look: whether a text holds any of the terms that a proof would need."""
-    return F.exists(terms, lambda t: text.contains(t))
-
-
-def terms(findings: DataFrame) -> DataFrame:
-    """finding_id and terms: the field's name in every convention, the idioms, and segments of 4 characters or more of the operations."""
-    leaf = F.element_at(wire_names(F.col("kind"), F.col("subject")), -1)
-    conventions = F.array(leaf, names.snake(leaf), names.camel(leaf), names.pascal(leaf))
-    statics = F.flatten(F.transform(F.slice("affected_ops", 1, MOST_OPS), lambda o: F.filter(paths.segments(paths.path_of(o)), lambda s: ~paths.is_hole(s) & (F.length(s) >= 4))))
-    own = F.filter(paths.segments(F.col("path")), lambda s: ~paths.is_hole(s) & (F.length(s) >= 4))
-    return findings.select(ID, names.ordered_distinct(F.concat(conventions, F.transform("signatures", lambda s: F.regexp_replace(s, r"[.(]+$", "")), statics, own)).alias("terms"))

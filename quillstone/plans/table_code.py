@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import names, paths
-from quillstone.operators import collapse, temporal
-from quillstone.plans import dependence, drift, prospects, table_drift
+from quillstone.operators import collapse, sampling, temporal
+from quillstone.plans import dependence, drift, prefilter, prospects, table_drift
 from quillstone.plans.tables import query
 from quillstone.sources import archive, files
 from quillstone.sources.scratch import table
@@ -161,3 +161,41 @@ c AS (SELECT vendor, count(*) AS raw, count(DISTINCT subject) AS n FROM r GROUP
 SELECT vendor, CAST(ops_old AS BIGINT) AS ops_old, CAST(ops_new AS BIGINT) AS ops_new, CAST(ops_both AS BIGINT) AS ops_both, CAST(coalesce(raw, 0) AS BIGINT) AS raw_findings, CAST(coalesce(n, 0) AS BIGINT) AS findings, CAST(coalesce(n, 0) AS BIGINT) AS breaking FROM b LEFT JOIN c USING (vendor)""",
 )
 table_drift.QUERIES["drift_roll_up"] = _roll_up
+
+
+_TERMS = "SELECT DISTINCT {id}, regexp_replace(lower(replace(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+')), '_', '')), 's$', '') AS term FROM {table}"
+
+
+@query(f"WITH t AS ({_TERMS.format(id='doc_id', table='documents')}), f AS ({_TERMS.format(id='item_id', table='benchmark')}) SELECT doc_id, item_id, count(*) AS shared FROM t JOIN f USING (term) WHERE length(term) >= 12 GROUP BY ALL")
+def scan_pairs(spark, sf_dir):
+    """Documents as files and benchmark items as findings: pairs that share a long term, and how many."""
+    sources = table(spark, sf_dir, "documents").select(F.lit("").alias("repo"), F.col("doc_id").alias("path"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.lit("").alias("repo"), F.col("item_id").alias("path"), "text")
+    wanted = prefilter.file_terms(items).where("length(term) >= 12").select(F.col("path").alias("item_id"), "term")
+    return prefilter.sharing(prefilter.file_terms(sources), wanted, ["term"]).groupBy(F.col("path").alias("doc_id"), "item_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query("""WITH d AS (SELECT CAST(user_id AS VARCHAR) AS source, CAST(ts AS DATE) AS taken_on, max(event_type) AS digest, CAST(count(*) AS BIGINT) AS n_bytes FROM events GROUP BY 1, 2),
+k AS (SELECT source, arg_max(digest, taken_on) AS last FROM d WHERE taken_on < DATE '2024-01-15' GROUP BY 1),
+n AS (SELECT d.*, coalesce(lag(digest) OVER (PARTITION BY source ORDER BY taken_on), last) AS before FROM d LEFT JOIN k USING (source) WHERE taken_on >= DATE '2024-01-12') SELECT source, taken_on, digest, n_bytes FROM n WHERE before IS DISTINCT FROM digest""")
+def archive_changes_known(spark, sf_dir):
+    """The same where the archive knows the days before the 15th, and the 12th to the 14th come again, late."""
+    days = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("source"), F.to_date("ts").alias("taken_on")).agg(F.max("event_type").alias("digest"), F.count(F.lit(1)).alias("n_bytes"))
+    known = archive.changes(spark.createDataFrame([], archive.INDEX), days.where("taken_on < '2024-01-15'"))
+    return archive.changes(known, days.where("taken_on >= '2024-01-12'"))
+
+
+@query("""SELECT l.event_id, l.user_id, max(r.event_id) FILTER (WHERE r.k = 1) AS view_id, max(r.value) FILTER (WHERE r.k = 1) AS view_value FROM events l
+LEFT JOIN (SELECT l.event_id AS id, r.event_id, r.value, row_number() OVER (PARTITION BY l.event_id ORDER BY r.ts DESC, CAST(r.event_id AS VARCHAR) DESC) AS k FROM events l JOIN events r ON l.user_id = r.user_id AND r.ts <= l.ts WHERE l.event_type = 'purchase' AND r.event_type = 'view') r ON r.id = l.event_id AND r.k = 1
+WHERE l.event_type = 'purchase' GROUP BY 1, 2""")
+def asof_join(spark, sf_dir):
+    """Each purchase with the last view of its user."""
+    events = table(spark, sf_dir, "events")
+    views = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return temporal.as_of(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "user_id", "ts", "ts", ["view_id", "view_value"], "view_id").drop("ts")
+
+
+@query("SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('7/' || CAST(o_orderkey AS VARCHAR))) <= 25")
+def sampled_orders(spark, sf_dir):
+    """25 orders of each priority, by a seeded draw."""
+    return sampling.bottom_k(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], ["o_orderkey"], 25, 7)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.code import facts as code_facts
-from quillstone.plans import dependence, drift, prospects, report, scan
+from quillstone.plans import dependence, drift, prefilter, prospects, report, scan
 from quillstone.sources import archive, files
 
 CHECKOUT = "repo string, path string, n_bytes bigint, text string"
@@ -92,7 +92,7 @@ FILES = {
     "app/log.py": PY_CALL, "app/read.py": PY_READ, "app/other.py": "import skyline\nprint(mine.scope.guide.pixels)\nopen_dome('GET', 'https://elsewhere.org/v3/domes')\n", "app/none.py": "print('/v3/slots/1/log')\n",
     "tests/test_log.py": PY_CALL, "web/pay.ts": "import S from 'skyline-sdk';\nconst s = new S();\nawait s.slots.log({priority: 1});\nfetch('https://api.skyline.net/v3/plates').then(r => use(r.emulsion));\n",
     "web/pin.ts": "import S from 'skyline-sdk';\nconst s = new S({apiVersion: '2024-01-01'});\nfetch(`https://api.skyline.net/v3/slots/${id}/log`, {method: 'POST'});\n",
-    "go/main.go": "// api.skyline.net\n", "gen/api.py": "# @generated\n" + PY_CALL, "web/broken.ts": "import S from 'skyline-sdk';\nconst x = 'a\n", "web/package.json": json.dumps({"dependencies": {"skyline-sdk": "^3.1.0", "left": "1"}}),
+    "go/main.go": "// api.skyline.net\n", "gen/api.py": "# @generated\n" + PY_CALL, "web/broken.ts": "import S from 'skyline-sdk';\n// slots, log\nconst x = 'a\n", "web/package.json": json.dumps({"dependencies": {"skyline-sdk": "^3.1.0", "left": "1"}}),
     "requirements.txt": "other==1\nskyline>=3.0\n", "node_modules/x.py": PY_CALL, "app/migrations/m.py": PY_CALL, "lib/skyline/model/slot.py": PY_CALL, "app/notes.md": "api.skyline.net", "app/SKYLINE_KEYS.py": "SKYLINE_KEYS = 1\n",
 }
 
@@ -128,12 +128,13 @@ def test_walk(spark, tmp_path):
 def test_verdicts(scanned):
     got = {(r.path, r.kind, r.subject): (r.verdict, r.proof, r.line) for r in scanned[3].verdicts.collect()}
     say = lambda p, k: {s: v for (path, kind, s), v in got.items() if path == p and kind == k}
-    assert say("app/log.py", "endpoint_removed") == {"/v3/slots/{slot}/log": ("confirmed", "operation_call", 2), "/v3/domes": ("no_dependence", "", None)}
+    # what shares no term with a file is not proven against it: it has no row
+    assert say("app/log.py", "endpoint_removed") == {"/v3/slots/{slot}/log": ("confirmed", "operation_call", 2)}
     assert say("app/log.py", "request_field_added_required")["priority"] == ("confirmed", "field_missing", 2) and say("app/log.py", "request_field_removed")["exposure.seconds"] == ("confirmed", "field_sent", 2)
     assert say("app/read.py", "response_field_removed")["scope.guide.pixels"] == ("confirmed", "field_read", 4)
     assert say("app/other.py", "response_field_removed")["scope.guide.pixels"][0] == "no_dependence" and say("app/other.py", "endpoint_removed")["/v3/domes"][0] == "no_dependence"
     assert say("web/pay.ts", "schema_removed")["Plate"] == ("confirmed", "operation_call", 4)
-    assert {v[0] for v in say("web/pin.ts", "endpoint_removed").values()} == {"pinned"} and {v[0] for v in say("go/main.go", "endpoint_removed").values()} == {"unproven"}
+    assert {v[0] for v in say("web/pin.ts", "endpoint_removed").values()} == {"pinned"} and not say("go/main.go", "endpoint_removed")
     assert {v[0] for v in say("gen/api.py", "endpoint_removed").values()} == {"generated"} and {v[0] for v in say("web/broken.ts", "endpoint_removed").values()} == {"unreadable"}
 
 
@@ -149,11 +150,35 @@ def test_scan(scanned):
     assert json.loads(report.scan_json(s))["dropped"] == 0
 
 
-def test_first_look_is_sound(scanned):
-    _, found, checkout, s = scanned
-    terms = dependence.terms(dependence.identified(found))
-    hits = s.verdicts.where("verdict = 'confirmed'").select("path", "finding_id").join(terms, "finding_id").join(checkout.select("path", "text"), "path")
-    assert hits.where(~dependence.may_match(F.col("text"), F.col("terms"))).count() == 0 and hits.count() > 5
+def test_first_look_is_sound(spark, scanned, monkeypatch):
+    """Without it the same is proven, of more pairs."""
+    vendors, found, checkout, s = scanned
+    sources = checkout.where(files.is_candidate(F.col("path"), F.col("n_bytes")))
+    detected = files.detect_vendors(sources, vendors)
+    speaking = sources.join(detected.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    facts = code_facts.facts(speaking)
+    breaks = dependence.identified(found).where(F.col("severity") != drift.OPPORTUNITY)
+    said = lambda: {(r.path, r.finding_id): r.verdict for r in dependence.verdicts(speaking, facts, breaks, detected, vendors).collect()}
+    few = said()
+    monkeypatch.setattr(prefilter, "pairs", lambda sources, detected, proven, operations: detected.select("repo", "path", "vendor").join(proven.select("vendor", "finding_id"), "vendor").drop("vendor"))
+    every = said()
+    assert {k for k, v in few.items() if v == "confirmed"} == {k for k, v in every.items() if v == "confirmed"}
+    assert few.items() <= every.items() and len(few) < len(every) / 2
+
+
+def test_pairs_share_a_term(spark):
+    sources = spark.createDataFrame([("r", "a", "client.fetch_slots('/v3/slots/x')"), ("r", "b", "X-Site: 1"), ("r", "c", "site"), ("r", "d", None), ("r", "e", "nothing here")], "repo string, path string, text string")
+    terms = prefilter.file_terms(sources)
+    assert {r.term for r in terms.where("path = 'a'").collect()} == {"client", "fetchslot", "v3", "slot", "x"}
+    held = prefilter.filters(terms).select("path", prefilter.holds(F.col("bloom"), F.array(F.lit("x"), F.lit("site"))).alias("h")).where("h")
+    assert "b" in {r.path for r in held.collect()} and held.where("path = 'e'").isEmpty()
+    schema = "finding_id string, vendor string, leaf string, by_read boolean, by_send boolean, by_call boolean, by_absence boolean, signatures array<string>"
+    proven = spark.createDataFrame([("1", "v", "X-Site", False, True, False, False, []), ("2", "v", "slots", False, False, True, False, []), ("3", "v", "x", False, False, True, False, ["sky.slots.list("]), ("4", "v", "x", False, False, True, False, ["createSlot"])], schema)
+    operations = spark.createDataFrame([("2", "v", "/v3/slots/{id}", "get", True), ("1", "v", "/none", "get", True)], "finding_id string, vendor string, op_path string, op_method string, own boolean")
+    detected = sources.select("repo", "path", F.lit("v").alias("vendor"))
+    got = {(r.path, r.finding_id) for r in prefilter.pairs(sources, detected, proven, operations).collect()}
+    # all whole names of an idiom are needed; a finding that names nothing whole meets every file
+    assert got == {("b", "1"), ("a", "2")} | {(p, "4") for p in "abcde"}
 
 
 def test_signatures_and_queries(spark, scanned):
