@@ -35,6 +35,9 @@ ROUNDS = 8
 DAY0, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() - datetime.date(1900, 1, 1).toordinal() + 1
 HEX = "0123456789abcdef"
 
+#: Characters permuted as one number; numbers of any length would take quadratic time.
+PIECE = 128
+
 
 class Feistel:
     """Keyed permutations of [0, n) for any n."""
@@ -67,7 +70,11 @@ class Feistel:
                 return out
 
     def characters(self, text: str, alphabets: list[str], tweak: str) -> str:
-        """Permutes a string whose k-th character is of the k-th alphabet, within those alphabets."""
+        """Permutes a string whose k-th character is of the k-th alphabet, within those alphabets; of more than PIECE characters in even pieces, each with its place for a tweak."""
+        if len(text) > PIECE:
+            many = -(-len(text) // PIECE)
+            ends = [len(text) * k // many for k in range(many + 1)]
+            return "".join(self.characters(text[a:b], alphabets[a:b], f"{tweak}/{k}") for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)))
         n, value = 1, 0
         for c, alphabet in zip(text, alphabets, strict=True):
             value = value * len(alphabet) + alphabet.index(c)
@@ -255,14 +262,14 @@ NUMBER = re.compile(
     r"|(?P<intl>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4})(?!\d)"
     r"|(?<![\d-])(?P<phone>(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\d-])"
 )
-SECRET = re.compile(r"(?<![0-9a-zA-Z])[0-9a-f]{32,128}(?![0-9a-zA-Z])")
+SECRET = re.compile(r"(?<![0-9a-zA-Z])[0-9a-f]{32,}(?![0-9a-zA-Z])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![a-z0-9])")
 IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
 TOKEN_HEAD = re.compile(r"gh[pousr]_|github_pat_|glpat-|sk[-_](?:live_|test_|proj-)?|pk_(?:live|test)_|xox[abprs]-|AIza|AKIA|ASIA|hf_")
-TOKEN = re.compile(rf"(?<![A-Za-z0-9_-])(?:{TOKEN_HEAD.pattern})[A-Za-z0-9_-]{{16,255}}(?![A-Za-z0-9_-])")
+TOKEN = re.compile(rf"(?<![A-Za-z0-9_-])(?:{TOKEN_HEAD.pattern})[A-Za-z0-9_-]{{16,}}(?![A-Za-z0-9_-])")
 GROUP = re.compile(r"\d+")
 HAS_DIGIT = re.compile(r"\d")
-LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
+LOCAL_SIGN = re.compile(r"[\w.%+-]")
 DOMAIN = re.compile(r"(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,}")
 
 
@@ -270,8 +277,11 @@ def mails(text: str) -> list[tuple[int, int]]:
     """Spans of mail addresses, by their @, in linear time."""
     out, at = [], text.find("@")
     while at >= 0:
-        left, right = LOCAL.search(text[max(0, at - 64) : at]), DOMAIN.match(text, at + 1)
-        local = left.group().lstrip(".+-%") if left else ""
+        # back to the first sign that no local part holds: an @ before it at the latest, so no sign is seen twice
+        first = at
+        while first and LOCAL_SIGN.match(text, first - 1):
+            first -= 1
+        local, right = text[first:at].lstrip(".+-%"), DOMAIN.match(text, at + 1)
         if local and right and (not out or at - len(local) >= out[-1][1]):
             out.append((at - len(local), right.end()))
         at = text.find("@", at + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,15 @@ from quillstone.llm import chat, collocations, fingerprints, jaccard, leaks, lic
 from quillstone.llm.common import table
 
 SHARDS = 8
-#: Of the pseudonyms where the session names none; a deployment sets spark.quillstone.pseudonym.key.
-KEY = "quillstone-example-key"
+#: The session's setting with the key of the pseudonyms.
+KEY = "spark.quillstone.pseudonym.key"
 
 
 def pseudonym_key(spark: SparkSession) -> str:
-    return spark.conf.get("spark.quillstone.pseudonym.key", KEY)
+    """The key that the session names. Where it names none, one is drawn and kept for the session: pseudonyms link within it, and nobody can reverse them from the source code."""
+    if not spark.conf.get(KEY, None):
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY)
 
 
 def tokenizer_path() -> str:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from quillstone.llm import leaks, packing, pseudonyms, resampling
 from quillstone.llm.common import cut
-from quillstone.llm.queries import KEY, tokenizer_path
+from quillstone.llm.queries import pseudonym_key, tokenizer_path
 from tests.llm.conftest import LABELS, SCHEMA, make_texts, rows, words
 from tests.llm.test_text_operators import each_class
 
@@ -45,7 +45,7 @@ def test_stages(spark, tmp_path):
         assert len(stays) == 1 and left[stays[0]] == 1 and rank(stays[0]) == min(map(rank, members))
     matcher = leaks.Matcher([(0, item)])
     assert Counter(pairs("decontamination")) == Counter((i, t) for i, t in pairs("near_duplicates") if not matcher.find(t)) and 500 not in dict(pairs("decontamination"))
-    f, memo = pseudonyms.replacer(KEY.encode())
+    f, memo = pseudonyms.replacer(pseudonym_key(spark).encode())
     assert Counter(pairs("pii")) == Counter((i, None if t is None else pseudonyms.pseudonymise(t, f, memo)[0]) for i, t in pairs("decontamination"))
     tokens = packing.Ids(tokenizer_path())
     want = Counter()

@@ -126,15 +126,34 @@ def test_dates_of_either_order_keep_apart():
     assert len({memo("dotted", x) for x in dates}) == len(dates)
 
 
-def test_the_key_is_the_session_s(spark):
+def test_the_key_is_the_session_s_and_drawn_where_there_is_none(spark):
     from quillstone.llm.queries import KEY, pseudonym_key
 
-    assert pseudonym_key(spark) == KEY
-    spark.conf.set("spark.quillstone.pseudonym.key", "other")
+    was = spark.conf.get(KEY, None)
     try:
+        spark.conf.set(KEY, "other")
         assert pseudonym_key(spark) == "other"
+        drawn = []
+        for _ in range(2):
+            spark.conf.unset(KEY)
+            drawn.append(pseudonym_key(spark))
+            assert pseudonym_key(spark) == drawn[-1] and len(drawn[-1]) == 64
+        assert drawn[0] != drawn[1]
     finally:
-        spark.conf.unset("spark.quillstone.pseudonym.key")
+        spark.conf.set(KEY, was) if was else spark.conf.unset(KEY)
+
+
+@pytest.mark.parametrize("n", [129, 4096])
+def test_long_values_are_replaced_whole(n):
+    """No length of a secret, a token or a mail name leaves a part of it in the text."""
+    r = Random(n)
+    secret, token, name = "".join(r.choices("0123456789abcdef", k=n)), "ghp_" + "".join(r.choices("ABCDEFghijkl0189", k=n)), "".join(r.choices("abcdefgh.1", k=n - 1)) + "x"
+    f, memo = pseudonyms.replacer(b"k")
+    text = f"a {secret} b {token} c {name}@mail.example.com d"
+    parts = pseudonyms.pseudonymise(text, f, memo)[0].split(" ")
+    assert [len(p) for p in parts] == [len(p) for p in text.split(" ")] and [parts[k] for k in (0, 2, 4, 6)] == ["a", "b", "c", "d"]
+    for old, new in zip(text.split(" ")[1::2], parts[1::2], strict=True):
+        assert old != new and old[8:40] not in new and old[-60:-20] not in new
 
 
 def test_feistel_is_a_permutation():
