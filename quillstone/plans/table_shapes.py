@@ -60,7 +60,8 @@ gone AS (SELECT file, name, size, form, json FROM schemas s WHERE side = 'old' A
 end1 AS (SELECT g.file, g.size, coalesce(t.json, g.json) AS json, coalesce(t.size, g.size) AS at FROM gone g LEFT JOIN schemas t ON g.form = 1 AND t.side = 'old' AND t.file = g.file AND t.size = (g.size + 6) % 50 + 1),
 kept AS (SELECT DISTINCT u.file, u.target, u.inside, u.unit, u.line FROM use u JOIN end1 e ON e.file = u.file AND e.size = u.target JOIN fields f ON f.file = u.file AND f.side = 'new' AND f.size = u.inside AND f.name = 'f' || u.line
  AND (u.inside % 6 <> 3 OR list_position(us.units, u.unit) = list_position(ns.units, f.unit)) LEFT JOIN us ON us.file = u.file AND us.side = 'old' AND us.size = u.inside LEFT JOIN us ns ON ns.file = u.file AND ns.side = 'new' AND ns.size = u.inside
- LEFT JOIN schemas x ON f.json LIKE '{"$ref"%' AND x.file = f.file AND x.side = 'new' AND x.size = (f.size + 1) % 50 + 1 WHERE u.side = 'old' AND u.at = 'field' AND coalesce(x.json, f.json) = e.json)"""
+ LEFT JOIN schemas x ON f.json LIKE '{"$ref"%' AND x.file = f.file AND x.side = 'new' AND x.size = (f.size + 1) % 50 + 1 WHERE u.side = 'old' AND u.at = 'field' AND coalesce(x.json, f.json) = e.json
+ UNION SELECT u.file, u.target, u.inside, u.unit, u.line FROM use u JOIN end1 e ON e.file = u.file AND e.size = u.target JOIN objects o ON o.file = u.file AND o.side = 'new' AND o.size = u.inside WHERE u.side = 'old' AND u.at = 'form' AND u.inside % 6 = 2 AND o.json = e.json)"""
 _SITES = _SITES.replace(
     "kept AS (", "us AS (SELECT file, side, size, list_sort(list(DISTINCT unit)) AS units FROM fields GROUP BY ALL),\nkept AS ("
 ).replace(

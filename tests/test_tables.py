@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from quillstone.plans import table_code, table_drift, tables
+from quillstone.plans import table_code, table_drift, table_shapes, tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,7 +26,7 @@ def plain(rows, names):
     return sorted(tuple(repr(r[k]) if isinstance(r[k], float) else str(r[k]) for k in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(tables.QUERIES))
+@pytest.mark.parametrize("name", [n for n in tables.QUERIES if n in tables.SQL])
 def test_query_matches_sql(spark, duck, name):
     df = tables.QUERIES[name](spark, SF)
     found = duck.sql(tables.SQL[name])
@@ -47,5 +47,5 @@ def test_closure_of_real_keys_against_brute_force(spark, tmp_path):
 def test_entry_imports():
     import __spark_entry__
 
-    assert table_code.table_drift is table_drift and {"path_match", "drift_operations"} <= set(tables.QUERIES)
+    assert table_code.table_drift is table_drift and table_shapes.QUERIES is tables.QUERIES and {"path_match", "drift_operations", "contract_shapes"} <= set(tables.QUERIES)
     assert set(tables.QUERIES) <= set(__spark_entry__.queries()) and set(tables.SQL) <= set(__spark_entry__.oracle_sql())
