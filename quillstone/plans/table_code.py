@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import names, paths
 from quillstone.operators import collapse, sampling, temporal
-from quillstone.plans import dependence, drift, prefilter, prospects, table_drift
+from quillstone.plans import dependence, drift, prefilter, prospects, quality, table_drift
 from quillstone.plans.tables import query
 from quillstone.sources import archive, files
 from quillstone.sources.scratch import table
@@ -199,3 +199,30 @@ def asof_join(spark, sf_dir):
 def sampled_orders(spark, sf_dir):
     """25 orders of each priority, by a seeded draw."""
     return sampling.bottom_k(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], ["o_orderkey"], 25, 7)
+
+
+_FOUND = """SELECT o_orderpriority AS vendor, CASE l_returnflag WHEN 'R' THEN 'breaking' WHEN 'A' THEN 'potentially_breaking' ELSE 'opportunity' END AS severity, l_linestatus AS method,
+CASE WHEN o_orderpriority < '3' THEN concat('/', CAST(l_suppkey AS STRING)) ELSE concat('/', CAST(l_partkey AS STRING)) END AS path, concat(l_linestatus, ' /', CAST(l_partkey AS STRING)) AS op_key, l_quantity, l_linenumber FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
+_FOUND_SQL = _FOUND.replace("{", "").replace("}", "")
+
+
+def _found(spark, sf_dir):
+    return spark.sql(_FOUND, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
+
+
+@query(f"""WITH f AS ({_FOUND_SQL}), o AS (SELECT vendor, count(DISTINCT path) AS old_ops FROM f WHERE method = 'F' GROUP BY 1),
+c AS (SELECT vendor, count(*) FILTER (severity = 'breaking') AS breaking, count(*) FILTER (severity = 'potentially_breaking') AS potentially, count(*) FILTER (severity = 'opportunity') AS additions, count(DISTINCT method || path) FILTER (severity = 'breaking') AS breaking_ops_touched FROM f GROUP BY 1),
+p AS (SELECT vendor, old_ops, breaking, potentially, additions, breaking_ops_touched, CASE WHEN breaking_ops_touched > 0 THEN round_even(breaking / breaking_ops_touched, 1) ELSE 0 END AS breaking_per_op FROM c JOIN o USING (vendor))
+SELECT *, concat_ws('; ', CASE WHEN breaking > old_ops THEN 'implausible: ' || breaking || ' breaking of ' || old_ops || ' operations' END, CASE WHEN breaking_per_op >= 10 THEN 'dense: ' || breaking_per_op || ' breaking an operation' END) AS flags FROM p""")
+def vendor_metrics(spark, sf_dir):
+    """Priorities as vendors: findings, operations touched, and what cannot be believed."""
+    found = _found(spark, sf_dir)
+    return quality.vendor_metrics(found, found.where("method = 'F'").groupBy("vendor").agg(F.count_distinct("path").alias("old_ops")))
+
+
+@query(f"""WITH f AS ({_FOUND_SQL}), t AS (SELECT vendor, op_key, CAST(l_linenumber AS VARCHAR) AS rule FROM f WHERE l_quantity >= 49 AND l_linenumber <> 7)
+SELECT vendor, rule, count(*) AS said, count(*) FILTER (NOT EXISTS (SELECT 1 FROM f WHERE f.vendor = t.vendor AND f.op_key = t.op_key AND f.severity = 'breaking')) AS unmatched FROM t GROUP BY 1, 2""")
+def tool_disagreement(spark, sf_dir):
+    """Lines of large quantities as what another tool says, by its rules, one of them noisy."""
+    found = _found(spark, sf_dir)
+    return quality.disagreement(found, found.where("l_quantity >= 49").select("vendor", "op_key", F.col("l_linenumber").cast("string").alias("rule")), ["7"])
