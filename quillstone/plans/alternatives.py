@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillstone.plans.obligations import links
 from quillstone.plans.shapes import SCHEMA, UNIONS, Graph
 from quillstone.sources.nodes import DOC
-from quillstone.sources.scratch import cut, drop
+from quillstone.sources.scratch import cut, forget
 
 #: Alternatives of one schema beyond which it is undecided.
 MOST = 64
@@ -91,7 +91,7 @@ def alternatives(graph: Graph) -> DataFrame:
     done = cut(start.select(*SCHEMA, F.when(gone, none).otherwise(F.array(alone())).alias("all_"), F.when(gone, no_sets).otherwise(F.array("names")).alias("least"), F.lit(False).alias("undecided")))
     held = [done]
     left = cut(waiting.where("n > 0"))
-    drop(waiting)
+    forget(waiting)
     while True:
         below = lines.join(left.select(*SCHEMA), SCHEMA, "left_semi").join(done.select(*DOC, F.col("schema").alias("child"), F.struct("all_", "least", "undecided").alias("w")), [*DOC, "child"])
         met = below.groupBy(*SCHEMA).agg(F.count(F.lit(1)).alias("ready"), F.bool_or("w.undecided").alias("unknown"), F.array_sort(F.collect_list(F.struct("role", "child", F.col("w.all_").alias("all_"), F.col("w.least").alias("least")))).alias("w"))
@@ -121,12 +121,12 @@ def alternatives(graph: Graph) -> DataFrame:
             break
         done = done.unionByName(step)
         after = cut(left.join(step.select(*SCHEMA), SCHEMA, "left_anti"))
-        drop(left)
+        forget(left)
         left = after
     # what waits for itself is undecided
     stuck = left.select(*SCHEMA, F.lit(None).cast(f"array<{ALTERNATIVE}>").alias("all_"), F.lit(None).cast(NAMES).alias("least"), F.lit(True).alias("undecided"))
     out = cut(done.unionByName(stuck))
-    drop(left, lines, plain, *held)
+    forget(left, lines, plain, *held)
     return out
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillstone.plans.shapes import SCHEMA, Graph
 from quillstone.sources.nodes import DOC
-from quillstone.sources.scratch import cut, drop
+from quillstone.sources.scratch import cut, forget
 
 SAYS = ["type", "types", "values", "names", "required", "nullable", "closed", "constant", "has_allOf", "has_oneOf", "has_anyOf", "has_items"]
 
@@ -36,7 +36,7 @@ def classes(graph: Graph) -> DataFrame:
         made = below.groupBy(*SCHEMA).agg(F.array_join(F.array_sort(F.collect_set(part)), ",").alias("made"))
         # its class of before stays part of it: classes only split
         after = cut(found.join(made, SCHEMA, "left").select(*SCHEMA, F.md5(F.concat("class", F.coalesce("made", F.lit("")))).alias("class")))
-        drop(found)
+        forget(found)
         now = after.agg(F.count_distinct("class")).first()[0]
         found, before, n = after, n, now
         if now == before:
@@ -45,5 +45,5 @@ def classes(graph: Graph) -> DataFrame:
     to = graph.ends.where("kind = 'object'").select(*DOC, F.col("site").alias("schema"), F.col("path").alias("end"))
     ends = found.select(*DOC, F.col("schema").alias("end"), F.col("class").alias("of"))
     out = cut(found.join(to, SCHEMA, "left").join(ends, [*DOC, "end"], "left").select(*SCHEMA, F.coalesce("of", "class").alias("class")))
-    drop(lines, start, found)
+    forget(lines, start, found)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.sources.nodes import DOC, followed, references
-from quillstone.sources.scratch import cut, drop
+from quillstone.sources.scratch import cut, forget
 
 #: Fixed value: levels below a schema that its shape shows.
 DEPTH = 3
@@ -93,7 +93,7 @@ class Graph:
         return places.join(to, [*DOC, column], "left").withColumn(column, F.coalesce("_end", column)).drop("_end")
 
     def close(self) -> None:
-        drop(self.refs, self.ends, self.words, self.lines)
+        forget(self.refs, self.ends, self.words, self.lines)
 
 
 def merged(graph: Graph) -> DataFrame:
@@ -140,12 +140,12 @@ def merged(graph: Graph) -> DataFrame:
             break
         done = done.unionByName(step)
         left = cut(waiting.join(step.select(*SCHEMA), SCHEMA, "left_anti"))
-        drop(waiting)
+        forget(waiting)
         waiting = left
     # what is left merges itself: it says nothing that can be read
     stuck = waiting.withColumn("says", F.lit(True)).withColumn("says_more", F.lit(True)).withColumn("type", F.lit(None).cast("string")).withColumn("has_values", F.lit(False)).withColumn("has_names", F.lit(False)).withColumn("kids", no_kids)
     out = cut(done.unionByName(stuck.select(*base.columns)))
-    drop(base, arms, waiting, *rounds)
+    forget(base, arms, waiting, *rounds)
     return out
 
 
@@ -190,5 +190,5 @@ def shapes(graph: Graph, depth: int = DEPTH) -> DataFrame:
         shape = F.when(~F.col("says"), ANY).when(F.col("nullable"), F.concat(F.lit("nullable("), "inner", F.lit(")"))).otherwise(F.when(F.col("says_more"), F.col("bare")).otherwise(UNRESOLVED))
         full = bare = cut(found.select(*SCHEMA, "bare", shape.alias("shape")))
         held.append(full)
-    drop(*held[:-1])
+    forget(*held[:-1])
     return full

@@ -10,7 +10,7 @@ from quillstone.plans.tables import QUERIES, SQL
 from quillstone.sources import contracts
 from quillstone.sources import nodes as tree
 from quillstone.sources.nodes import DOC
-from quillstone.sources.scratch import cut, drop
+from quillstone.sources.scratch import cut, forget
 
 #: Which schema another refers to, by its form; what each object holds and requires.
 ROWS = """, sch AS (SELECT file, side, size, form, CASE form WHEN 1 THEN (size + 6) % 50 + 1 WHEN 2 THEN (size + 3) % 50 + 1 WHEN 5 THEN (size + 3) % 50 + 1 END AS target FROM schemas),
@@ -35,7 +35,7 @@ def named(pointer: str) -> F.Column:
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_contracts.documents(spark, sf_dir)
     out = tree.node_table(docs)
-    drop(docs)
+    forget(docs)
     return out
 
 
@@ -88,7 +88,7 @@ def contract_schema_removals(spark, sf_dir):
     refs = cut(tree.references(nodes))
     ends = tree.followed(nodes, refs)
     out = cut(tree.removed_schemas(nodes, refs, ends))
-    drop(nodes, refs, ends)
+    forget(nodes, refs, ends)
     return out
 
 
@@ -116,7 +116,7 @@ def contract_shapes(spark, sf_dir):
     prop = F.regexp_extract("schema", "^/components/schemas/([^/]*)/properties/([^/]*)$", 1)
     place = F.when(named("schema") != "", named("schema")).when(prop != "", F.concat(prop, F.lit("."), F.regexp_extract("schema", "([^/]*)$", 1)))
     out = cut(found.select("file", "side", place.alias("place"), "shape").where("place IS NOT NULL"))
-    drop(graph.nodes, found)
+    forget(graph.nodes, found)
     graph.close()
     return out
 
@@ -135,7 +135,7 @@ def contract_obligations(spark, sf_dir):
     graph = shapes.Graph(_nodes(spark, sf_dir))
     found = obligations.obligations(graph)
     out = cut(found.select("file", "side", named("schema").alias("schema"), "name").where("schema <> ''"))
-    drop(graph.nodes, found)
+    forget(graph.nodes, found)
     graph.close()
     return out
 
@@ -157,7 +157,7 @@ def contract_promises(spark, sf_dir):
     graph = shapes.Graph(_nodes(spark, sf_dir))
     found = alternatives.alternatives(graph)
     out = cut(found.select("file", "side", named("schema").alias("schema"), F.size("least").alias("n_least"), F.array_join(F.array_sort(alternatives.promised(F.col("least"))), ",").alias("promised"), "undecided").where("schema <> ''"))
-    drop(graph.nodes, found)
+    forget(graph.nodes, found)
     graph.close()
     return out
 
@@ -170,7 +170,7 @@ def contract_verdicts(spark, sf_dir):
     nodes = tree.node_table(docs)
     verdicts = adjudicate.adjudicated(found, nodes)
     out = cut(adjudicate.agreement(verdicts))
-    drop(docs, facts, found, nodes, verdicts)
+    forget(docs, facts, found, nodes, verdicts)
     return out
 
 
@@ -180,7 +180,7 @@ def contract_equal_schemas(spark, sf_dir):
     found = equality.classes(graph)
     of = lambda side: found.where(F.col("side") == side).select("file", named("schema").alias("schema"), F.col("class").alias(side)).where("schema <> ''")
     out = cut(of("old").join(of("new"), ["file", "schema"]).select("file", "schema", (F.col("old") == F.col("new")).alias("same")))
-    drop(graph.nodes, found)
+    forget(graph.nodes, found)
     graph.close()
     return out
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.sources.scratch import cut, drop
+from quillstone.sources.scratch import cut, forget
 
 DOC = ["file", "side"]
 NODE = [*DOC, "path", "parent", "grand", "key", "above", "place", "listed", "depth", "kind", "text", "digest", "ordinal"]
@@ -42,7 +42,7 @@ def _described(level: DataFrame) -> DataFrame:
 
 
 def node_table(docs: DataFrame) -> DataFrame:
-    """NODE of all documents (file, side, body). The result is a table of its own, for drop()."""
+    """NODE of all documents (file, side, body). The result is a table of its own, for forget()."""
     spark = docs.sparkSession
     none = F.lit(None).cast("string")
     top = docs.dropDuplicates(DOC).select(
@@ -61,7 +61,7 @@ def node_table(docs: DataFrame) -> DataFrame:
         if level.isEmpty():
             break
     out = cut(reduce(DataFrame.unionByName, [x.select(*NODE) for x in levels]))
-    drop(*levels, level)
+    forget(*levels, level)
     return out
 
 
@@ -108,7 +108,7 @@ def followed(nodes: DataFrame, refs: DataFrame) -> DataFrame:
         hops *= 2
     ends = hop.join(nodes.select(*DOC, "path", "kind", "digest"), [*DOC, "path"]).join(refs.where("form = 'ref'").select(*DOC, F.col("site").alias("path")), [*DOC, "path"], "left_anti")
     out = cut(ends)
-    drop(*held)
+    forget(*held)
     return out
 
 

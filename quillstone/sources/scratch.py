@@ -37,13 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame | None) -> None:
-    """Delete the folders of tables that cut() returned. Nothing may read them any more, nor what was derived from them without a cut."""
+def forget(*tables: DataFrame | None) -> None:
+    """Delete the folders of tables that cut() returned. Nothing may read them any more, nor what was derived from them without a cut. For many small tables."""
     for t in tables:
         if path := getattr(t, _PATH, None) if t is not None else None:
             spark = t.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """forget(), and ask for the shuffle files of large tables to go at once."""
+    forget(*tables)
     for t in tables:
         if t is not None:
             # shuffle files that only made these tables go once the driver has collected what refers to them
