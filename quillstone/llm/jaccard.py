@@ -21,9 +21,12 @@ nodes, but two that meet there and share no rare token (else they meet at that)
 m = n - r of either's tokens: the bound that keeps large groups from being compared in all pairs. A
 signature's nodes are first compared with its hub, the node with the fewest rare tokens; of what
 may link at all, it links most. Links make components, and pairs inside one need no comparing. What
-is left are the pairs of one signature in different components that the bound lets through. A
-comparison drops pairs whose sizes or parity bitmaps bound the likeness below the threshold, and
-counts the shared shingles of the rest.
+is left are the pairs of one signature in different components that the bound lets through. One of
+such a pair lies outside the signature's largest component, so only those outside are joined with
+all: a group whose hub linked nearly all of it is no longer compared with itself. Signatures that
+the same nodes hold are joined once. Sizes and parity bitmaps that bound the likeness below the
+threshold are a condition of that join, so it makes only rows that are then compared, by counting
+the shared shingles.
 
 Edge cases: null, empty and blank texts have no shingles, no partners and are components of their
 own; a text of fewer than k words is one shingle; texts are read whole; repeated rows are equal
@@ -35,7 +38,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -161,13 +166,30 @@ def _may_link(rule: Rule, n1: str, m1: str, n2: str, m2: str) -> Column:
     return _fits(rule, n1, n2) & ((F.col("sig").bitwiseAND(F.lit(1)) == 0) | (most * rule.den >= (F.col(n1) + F.col(n2) - most) * rule.num))
 
 
+def _may_differ(rule: Rule, n1: str, n2: str, differ: Column) -> Column:
+    """Whether sets of these sizes may link though their parity bitmaps differ in so many bits."""
+    # shared <= (n1 + n2 - differ) / 2, so all >= (n1 + n2 + differ) / 2
+    return (F.col(n1) + F.col(n2) - differ) * rule.den >= (F.col(n1) + F.col(n2) + differ) * rule.num
+
+
+def _bits(name: str) -> list[Column]:
+    """The parity bitmap as columns name0, name1, ..., which a join compares in compiled code."""
+    return [F.get("parity", F.lit(k)).alias(f"{name}{k}") for k in range(PARITY // 64)]
+
+
+def _parted(held: DataFrame) -> DataFrame:
+    """sig and big: the signatures that nodes of several components c hold, and of these the one with most nodes; of signatures that the same nodes hold, the least of either kind."""
+    each = held.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("num")).alias("x"), F.bit_xor(F.xxhash64("num", F.lit(1))).alias("y"))
+    whole = each.groupBy("sig").agg(F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("parts"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("parts > 1")
+    return whole.groupBy("x", "y", F.col("sig").bitwiseAND(F.lit(1))).agg(F.min(F.struct("sig", F.col("most.c").alias("big"))).alias("of")).select("of.sig", "of.big")
+
+
 def by_parity(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose sizes and parity bitmaps allow a link, with the rows da and db that hold them."""
     side = lambda x: nodes.select(F.col("num").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), F.col("row").alias(f"d{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # shared <= (na + nb - differ) / 2, so all >= (na + nb + differ) / 2
-    return both.where(_fits(rule, "na", "nb") & ((F.col("na") + F.col("nb") - differ) * rule.den >= (F.col("na") + F.col("nb") + differ) * rule.num)).select("a", "b", "da", "db")
+    return both.where(_fits(rule, "na", "nb") & _may_differ(rule, "na", "nb", differ)).select("a", "b", "da", "db")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -232,12 +254,16 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     stars = connected(links)
     drop(links)
 
-    now = held.join(stars.select(F.col("node").alias("num"), F.col("component").alias("c")), "num", "left").withColumn("c", F.coalesce("c", "num"))
-    parted = cut(now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig"))
-    now = cut(now.join(parted, "sig"))
-    drop(held, parted)
-    other = now.select("sig", F.col("num").alias("num2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("c").alias("c2"))
-    rest = now.join(other, "sig").where((F.col("c") < F.col("c2")) & _may_link(rule, "n", "m", "n2", "m2")).select(*pair).distinct()
+    known = nodes.join(stars.select(F.col("node").alias("num"), F.col("component").alias("c")), "num", "left").select("num", F.coalesce("c", "num").alias("c"), *_bits("p"))
+    known = cut(known)
+    parted = cut(_parted(held.join(known.select("num", "c"), "num")))
+    now = cut(held.join(parted, "sig").join(known, "num"))
+    drop(held, parted, known)
+    side = [F.col(c).alias(f"{c}2") for c in ("num", "n", "m", "c")] + [F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY // 64)]
+    lesser = now.where("c <> big")
+    apart = (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("big")) | (F.col("c") < F.col("c2")))
+    near = _may_differ(rule, "n", "n2", reduce(add, [F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(PARITY // 64)]))
+    rest = lesser.join(now.select("sig", *side), "sig").where(apart & _may_link(rule, "n", "m", "n2", "m2") & near).select(*pair).distinct()
     rest = cut(by_parity(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), nodes, rule))
     drop(now, first)
     links = _linked(docs, nodes, rest, rule)
