@@ -68,20 +68,70 @@ def lines_of(impacts: DataFrame) -> DataFrame:
     return impacts.select(F.concat("path", F.lit(":"), "line", F.lit(": "), "severity", F.lit(": "), names.label(F.col("kind")), F.lit(" `"), "subject", F.lit("` ("), "vendor", F.lit("): "), F.array_join("chain", "; ")).alias("text"))
 
 
+def _sections(s: Scan, most: int) -> list[tuple[str, int, list[str]]]:
+    """Title, number of lines and the first `most` lines of each section of a scan."""
+    at = lambda *parts: F.concat(*parts).alias("text")
+    rows = {
+        "impacts": lines_of(s.impacts), "in tests and examples": lines_of(s.incidental),
+        "not measured": s.unmeasured.orderBy("vendor", "language").select(at("vendor", F.lit(": "), "n", F.lit(" "), "language", F.lit(" files"))),
+        "pinned": s.pinned.orderBy("repo", "vendor").select(at("vendor", F.lit(" at "), "declared", F.lit(" in "), "repo")),
+        "opportunities": s.opportunities.select(at("vendor", F.lit(": "), names.label(F.col("kind")), F.lit(" `"), "subject", F.lit("`, near "), "path", F.lit(":"), "line")),
+    }
+    out = []
+    for title, lines in rows.items():
+        shown = [r.text for r in lines.limit(most + 1).collect()]
+        n = len(shown) if len(shown) <= most else lines.count()
+        out.append((title, n + s.dropped if title == "opportunities" else n, shown[:most]))
+    return out
+
+
 def scan_text(s: Scan, most: int = 1000) -> str:
     """A scan to read: impacts, what was met in tests only, what could not be measured, pinned vendors and opportunities. The first `most` lines of a section, and how many there are."""
+    out = []
+    for title, n, lines in _sections(s, most):
+        out += [f"{title}: {n}", *(f"  {x}" for x in lines), *([f"  and {n - len(lines)} more"] if n > len(lines) else [])]
+    return "\n".join(out) + "\n"
 
-    def section(title: str, rows: DataFrame) -> list[str]:
-        n = rows.count()
-        return [f"{title}: {n}", *(f"  {r.text}" for r in rows.limit(most).collect()), *([f"  and {n - most} more"] if n > most else [])]
 
-    out = section("impacts", lines_of(s.impacts)) + section("in tests and examples", lines_of(s.incidental))
-    out += section("not measured", s.unmeasured.orderBy("vendor", "language").select(F.concat("vendor", F.lit(": "), "n", F.lit(" "), "language", F.lit(" files")).alias("text")))
-    out += section("pinned", s.pinned.orderBy("repo", "vendor").select(F.concat("vendor", F.lit(" at "), "declared", F.lit(" in "), "repo").alias("text")))
-    out += section("opportunities", s.opportunities.select(F.concat("vendor", F.lit(": "), names.label(F.col("kind")), F.lit(" `"), "subject", F.lit("`, near "), "path", F.lit(":"), "line").alias("text")))
-    if s.dropped:
-        out.append(f"  and {s.dropped} more")
-    return "\n".join(out) + "\n"
+def scan_markdown(s: Scan, most: int = 1000) -> str:
+    """The same as Markdown: a heading for each section, but for those that are empty, of which the impacts say so."""
+    out = ["# Scan", ""]
+    for title, n, lines in _sections(s, most):
+        if n or title == "impacts":
+            out += [f"## {title.capitalize()} ({n})", "", *(f"- {x}" for x in lines or ["none"]), *([f"- and {n - len(lines)} more"] if n > len(lines) else []), ""]
+    return "\n".join(out)
+
+
+def write_scan(s: Scan, form: str, path: str | None = None, exit_zero: bool = False) -> int:
+    """Write a scan as text, markdown or json to a file, or print it; the exit status."""
+    text = {"text": scan_text, "markdown": scan_markdown, "json": scan_json}[form](s)
+    if path is None:
+        print(text)
+    else:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+    return s.exit_status(exit_zero)
+
+
+def brief_lines(findings: DataFrame) -> DataFrame:
+    """vendor, rank, text: the lines of each vendor's brief, of all its findings: a title, how many there are of each severity, and a line each.
+
+    A null detail is left out. Ranks order lines, they are not numbers of lines; findings of equal
+    severity go by kind, subject and operation. No findings, no lines.
+    """
+    order = F.struct(drift.severity_rank(F.col("severity")).cast("int").alias("s"), "kind", "subject", F.coalesce("op_key", F.lit("")).alias("op"))
+    said = F.concat(F.lit("- **"), names.label(F.col("kind")), F.lit("** `"), "subject", F.lit("` ("), "severity", F.lit(")"), F.coalesce(F.concat(F.lit(": "), "detail"), F.lit("")))
+    each = findings.select("vendor", order.alias("rank"), said.alias("text"))
+    at = lambda n: F.struct(F.lit(n).alias("s"), F.lit("").alias("kind"), F.lit("").alias("subject"), F.lit("").alias("op"))
+    counts = findings.groupBy("vendor").agg(F.concat_ws(", ", *[F.concat(F.count_if(F.col("severity") == v), F.lit(f" {v}")) for v in SEVERITIES]).alias("text"))
+    heads = counts.select("vendor", at(-2).alias("rank"), F.concat(F.lit("# "), "vendor").alias("text")).unionByName(counts.select("vendor", at(-1).alias("rank"), "text"))
+    return heads.unionByName(each)
+
+
+def write_briefs(findings: DataFrame, path: str) -> None:
+    """A folder of Markdown lines for each vendor, in the order of the names of its files: a vendor of many findings is split over several."""
+    lines = brief_lines(findings).repartitionByRange("vendor", "rank").sortWithinPartitions("vendor", "rank")
+    lines.select("vendor", "text").write.mode("overwrite").partitionBy("vendor").text(path)
 
 
 def scan_json(s: Scan) -> str:

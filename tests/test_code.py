@@ -138,7 +138,7 @@ def test_verdicts(scanned):
     assert {v[0] for v in say("gen/api.py", "endpoint_removed").values()} == {"generated"} and {v[0] for v in say("web/broken.ts", "endpoint_removed").values()} == {"unreadable"}
 
 
-def test_scan(scanned):
+def test_scan(scanned, tmp_path):
     s = scanned[3]
     assert {r.path for r in s.impacts.collect()} == {"app/log.py", "app/read.py", "web/pay.ts"} and {r.path for r in s.incidental.collect()} == {"tests/test_log.py"}
     assert [(r.vendor, r.language, r.n) for r in s.unmeasured.collect()] == [("skyline", "Go", 1)]
@@ -148,6 +148,19 @@ def test_scan(scanned):
     text = report.scan_text(s)
     assert "app/log.py:2: breaking: endpoint removed `/v3/slots/{slot}/log` (skyline): a call names path" in text and "skyline: 1 Go files" in text and "skyline at skyline-sdk@^3.1.0 in me" in text
     assert json.loads(report.scan_json(s))["dropped"] == 0
+    page = report.scan_markdown(s, most=1)
+    assert page.startswith("# Scan\n\n## Impacts (") and "- app/log.py:2: breaking" in page and " more\n" in page and "## Not measured (1)\n\n- skyline: 1 Go files" in page
+    assert report.write_scan(s, "markdown", str(tmp_path / "scan.md")) == 1 and (tmp_path / "scan.md").read_text().startswith("# Scan")
+
+
+def test_briefs(spark, tmp_path):
+    rows = [("a", "breaking", "endpoint_removed", f"/x{k}", "gone", "get /x") for k in (2, 1)] + [("a", "opportunity", "spec_added", "s", None, None), ("b", drift.POTENTIAL, "endpoint_removed", "/y", "gone", "get /y")]
+    found = spark.createDataFrame(rows, "vendor string, severity string, kind string, subject string, detail string, op_key string")
+    lines = [r.text for r in report.brief_lines(found).where("vendor = 'a'").orderBy("rank").collect()]
+    assert lines[0] == "# a" and lines[1].startswith("2 breaking, 0 ") and [x.split("`")[1] for x in lines[2:]] == ["/x1", "/x2", "s"] and lines[-1].endswith("(opportunity)")
+    report.write_briefs(found, str(tmp_path / "briefs"))
+    read = [line for f in sorted((tmp_path / "briefs" / "vendor=a").glob("part-*.txt")) for line in f.read_text().splitlines()]
+    assert read == lines and report.brief_lines(found.limit(0)).count() == 0
 
 
 def test_first_look_is_sound(spark, scanned, monkeypatch):
