@@ -7,7 +7,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import sampling, temporal
+from quillstone.operators import graph, sampling, temporal
 from quillstone.plans import equality, shapes
 from quillstone.sources import nodes as tree
 from tests.test_drift import ref
@@ -85,3 +85,16 @@ def test_equal_schemas_circles_included(spark):
     for f, p, d, a in named:
         for g, q, e, b in named:
             assert (got[f, p] == got[g, q]) == unfolds_alike(d, a, e, b), (f, p, g, q)
+
+
+def test_two_hops_by_lists_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PIECE", 2)
+    rng = Random(5)
+    edges = [(rng.randrange(30), rng.randrange(12)) for _ in range(90)] + [(1, 1), (1, 2), (1, 2)]
+    to = {a: {d for s, d in edges if s == a} for a, _ in edges}
+    want = {}
+    for a in to:
+        for node, hops in [(a, 0), *((b, 1) for b in to[a]), *((c, 2) for b in to[a] for c in to.get(b, ()))]:
+            want[a, node] = min(hops, want.get((a, node), 9))
+    got = graph.two_hops(spark.createDataFrame(edges, "src int, dst int")).collect()
+    assert sorted((r.root, r.node, r.hops) for r in got) == sorted((*k, h) for k, h in want.items())
