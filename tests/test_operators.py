@@ -98,3 +98,28 @@ def test_two_hops_by_lists_in_pieces(spark, monkeypatch):
             want[a, node] = min(hops, want.get((a, node), 9))
     got = graph.two_hops(spark.createDataFrame(edges, "src int, dst int")).collect()
     assert sorted((r.root, r.node, r.hops) for r in got) == sorted((*k, h) for k, h in want.items())
+
+
+@pytest.mark.parametrize("most", [1, 8])
+def test_what_is_reached_through_circles(spark, most, monkeypatch):
+    monkeypatch.setattr(graph.circles, "__defaults__", (most,))
+    # two circles, the second reached from the first, roots that lead into either, a chain that ends, a loop on itself
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (6, 7), (20, 1), (21, 2), (22, 5), (23, 7), (9, 9)]
+    want = set()
+    for a, _ in edges:
+        seen, todo = set(), [a]
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += [d for s, d in edges if s == x]
+        want |= {(a, x) for x in seen}
+    got = [tuple(r) for r in graph.reached(spark.createDataFrame(edges, "src int, dst int")).select("root", "node").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_circle_is_followed_once(spark, monkeypatch):
+    made, closure = [], graph.closure
+    monkeypatch.setattr(graph, "closure", lambda roots, edges, max_hops=None: made.append(closure(roots, edges, max_hops)) or made[-1])
+    edges = [(k, (k + 1) % 4) for k in range(4)] + [(100 + k, k % 4) for k in range(40)]
+    assert graph.reached(spark.createDataFrame(edges, "src int, dst int")).count() == 4 * 4 + 40 * 5
+    assert max(x.count() for x in made) <= 85
