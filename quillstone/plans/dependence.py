@@ -38,8 +38,9 @@ def wire_names(kind: Column, subject: Column) -> Column:
 
 def in_order(position: Column, wanted: Column) -> Column:
     """Whether the wanted names stand in a position in that order, others between them or not."""
-    met = F.aggregate(position, F.lit(0), lambda i, p: i + F.when(F.get(wanted, i) == p, 1).otherwise(0))
-    return met == F.size(wanted)
+    # the names still wanted go along as the state: an expression inside the lambda is worked out again for every name of the position
+    left = F.aggregate(position, wanted, lambda left, p: F.when(F.get(left, F.lit(0)) == p, F.slice(left, F.lit(2), F.size(left))).otherwise(left))
+    return F.size(left) == 0
 
 
 def proves(findings: DataFrame) -> DataFrame:

@@ -259,3 +259,12 @@ def test_archive(spark, tmp_path):
     a, b = (json.dumps({"paths": {"x": [k, {"nonce": u, "at": f"2024-01-0{k}T10:00:00Z"}]}}).encode() for k, u in ((1, "6f9619ff-8b86-d011-b42d-00cf4fc964ff"), (1, "7f9619ff-8b86-d011-b42d-00cf4fc964ff")))
     digests = archive.looked_at(spark.createDataFrame([("x", day(1), "openapi", a), ("x", day(1), "openapi", b)], BODIES)).select("digest").distinct()
     assert digests.count() == 1 and archive.index(spark, f"{tmp_path}/nowhere").count() == 0
+
+
+def test_order_of_names_is_tested_without_working_them_out_for_each(spark):
+    rows = spark.createDataFrame([("a b c b d",), ("b a",), ("a",), (None,)], "t string")
+    words = F.split("t", " ")
+    out = rows.select("t", dependence.in_order(words, F.array(F.lit("b"), F.lit("d"))).alias("x"), dependence.in_order(words, F.array(F.get(words, F.lit(1)), F.get(words, F.lit(0)))).alias("y"))
+    assert {r.t: (r.x, r.y) for r in out.collect()} == {"a b c b d": (True, False), "b a": (False, False), "a": (False, False), None: (None, None)}
+    plan = rows.select(dependence.in_order(words, F.array(F.upper("t"))).alias("z"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
