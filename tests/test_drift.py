@@ -266,3 +266,17 @@ def test_names_and_paths(spark):
     assert [lit(names.searchability(text(s), text("x"))) for s in ("Slot.begins_at_utc", "type", "", "Camera.pixels")] == [5, -8, -10, 1]
     assert lit(names.subject_tokens(text("<Slot>.scopes[].guide<Camera>"))) == ["<Slot>", "scopes", "[]", "guide", "<Camera>"]
     assert lit(paths.resource_segments(text("/v1/calls/{sid}/log.json"), F.array(text("/v2"), text("/v1")))) == ["calls", "log"]
+
+
+def test_operations_are_not_followed_one_by_one(spark, monkeypatch):
+    document = base()
+    for k in range(60):
+        document["paths"][f"/copies{k}"] = {"get": {"responses": {"200": holds(ref("Telescope"))}}}
+    rows = spark.createDataFrame([("v", "f.json", side, json.dumps(document)) for side in ("old", "new")], "vendor string, spec_file string, side string, body string")
+    roots = []
+    closure = drift.graph.closure
+    monkeypatch.setattr(drift.graph, "closure", lambda r, e, most=None: roots.append(r.distinct().count()) or closure(r, e, most))
+    s = drift.Sides(contracts.facts(rows))
+    assert s.used("old").where("schema = 'Telescope' and in_response").count() == 1
+    s.reach("old", s.used("old").where("schema = 'Telescope'")).where("hops = 0").count()
+    assert max(roots) < 60
