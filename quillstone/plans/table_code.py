@@ -148,7 +148,8 @@ _OPS = ["op", "param", "scheme"]
 
 
 def _roll_up(spark, sf_dir):
-    facts = table_drift.facts(spark, sf_dir, _OPS)
+    # every row makes an operation, so files and operations are those of all facets
+    facts = table_drift.facts(spark, sf_dir, ["op"])
     s = drift.Sides(facts)
     found = drift.finished(s, drift.files_and_operations(s)[3].where("kind = 'endpoint_removed'"))
     return drift.roll_up(facts, found, drift.collapsed(found)).select("vendor", "ops_old", "ops_new", "ops_both", "raw_findings", "findings", "breaking")
