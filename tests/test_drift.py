@@ -280,3 +280,12 @@ def test_operations_are_not_followed_one_by_one(spark, monkeypatch):
     assert s.used("old").where("schema = 'Telescope' and in_response").count() == 1
     s.reach("old", s.used("old").where("schema = 'Telescope'")).where("hops = 0").count()
     assert max(roots) < 60
+
+
+def test_packed_tables_are_not_taken_for_small_ones(spark):
+    from quillstone.sources.scratch import cut
+
+    rows = spark.range(300_000)
+    big, other = (cut(rows.select((F.col("id") + k).alias("id"), F.lit("a name that repeats " * 4).alias(f"x{k}"))) for k in (0, 1))
+    plan = big.select("x0").distinct().join(other.select("x1"), F.col("x0") == F.col("x1"))._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan
