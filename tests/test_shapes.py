@@ -68,6 +68,17 @@ def test_nodes_against_a_walk(spark):
     assert tree.node_table(documents(spark, [])).count() == 0
 
 
+def test_nodes_take_no_round_for_each_level(spark):
+    deep = {"k\\": ['"', "\\", '\\"]', "é\t", {}, []], "z": 1}
+    for _ in range(60):
+        deep = {"down": deep}
+    spark.sparkContext.setJobGroup("deep", "nodes of a deep document")
+    nodes = tree.node_table(documents(spark, [("f", "old", deep)]))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("deep")) < 10
+    assert sorted((x.path, x.key, x.kind, x.text, x.depth, x.entry, x.exit) for x in nodes.collect()) == sorted(walk(deep), key=lambda x: x[0])
+
+
 def some_schema(r, names, depth=0):
     """A schema that may refer to others, and in circles."""
     kind = r.randrange(12) if depth < 3 else r.randrange(6)
