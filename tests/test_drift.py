@@ -289,3 +289,16 @@ def test_packed_tables_are_not_taken_for_small_ones(spark):
     big, other = (cut(rows.select((F.col("id") + k).alias("id"), F.lit("a name that repeats " * 4).alias(f"x{k}"))) for k in (0, 1))
     plan = big.select("x0").distinct().join(other.select("x1"), F.col("x0") == F.col("x1"))._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_json_needs_no_yaml_reader(monkeypatch):
+    def none(body):
+        raise AssertionError("read as YAML")
+
+    found = contracts.parse('openapi: "3.0.0"\npaths: {}', "api")
+    assert found["paths"] == {}
+    monkeypatch.setattr(contracts, "read_yaml", none)
+    assert contracts.parse(' {"paths": {"/a": {}}, "n": 1}', "api") == {"paths": {"/a": {}}, "n": 1}
+    for body in ('{paths: {}}', '{"paths": {}, "n": NaN}', "paths: {}"):
+        with pytest.raises(contracts.NotAContract):
+            contracts.parse(body, "api")
