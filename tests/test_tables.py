@@ -49,3 +49,16 @@ def test_entry_imports():
 
     assert table_code.table_drift is table_drift and table_shapes.QUERIES is tables.QUERIES and {"path_match", "drift_operations", "contract_shapes"} <= set(tables.QUERIES)
     assert set(tables.QUERIES) <= set(__spark_entry__.queries()) and set(tables.SQL) <= set(__spark_entry__.oracle_sql())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_facts_that_sort_are_dealt_by_their_group(spark, monkeypatch):
+    facets = ["op", "scheme", "schema_field"]
+    assert [table_drift._from(f).split("FROM ")[1].split(" ")[0] for f in facets] == ["{op_key}", "{base}", "{schema}"]
+    whole, before = table_drift.facts(spark, SF, facets), spark.conf.get(table_drift.PARTITIONS)
+    monkeypatch.setattr(table_drift, "ROWS", 500)
+    dealt = table_drift.facts(spark, SF, facets)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert n > 4 and plan.count("RepartitionByExpression") == 2 and f", {n}" in plan
+    assert spark.conf.get(table_drift.PARTITIONS) == before and dealt.exceptAll(whole).isEmpty() and whole.exceptAll(dealt).isEmpty()
