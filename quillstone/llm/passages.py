@@ -11,9 +11,10 @@ common are compared in all pairs. Common seeds are matched with their hub, the p
 node that holds them, and joined with the common seeds after them to longer runs, which are
 compared in all pairs where they are few. Strings of `least` words that hold no SEEDS seeds in few
 places, SPAN words apart, and no seed that occurs once only (but for seeds that may hang on words
-outside the string) are hashed whole and matched with a hub each, which shares them all: so every
-exact passage is found, however often it or parts of it occur, and no group is compared in all pairs
-that grows with the input. Passages that differ in words and whose
+outside the string) are hashed whole and matched with a hub each, which shares them all; they are
+passages as they stand, also where a chain would not link them, at every place of either text: so
+every exact passage is found, however often it or parts of it occur, and no group is compared in all
+pairs that grows with the input. Passages that differ in words and whose
 shared seeds and runs are all common are found only through hubs.
 
 Matches of two nodes are chained: a Fenwick tree over places in the second gives each match the best
@@ -60,6 +61,7 @@ LEAST, IDENTITY = 50, 0.8
 GAP = 0.1
 #: Words read beyond the ends of a chain.
 MARGIN = 2 * LEAST
+PASSAGE = "node bigint, hub bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint, agree bigint"
 #: An extension ends when its score falls so far below its best; a word that agrees is 1, one that differs -DIFFER.
 DROP, DIFFER = 8, 3
 
@@ -265,9 +267,9 @@ def _with_hubs(rows: DataFrame) -> DataFrame:
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """key, node, p, c, hub of the keys of a table that several nodes hold; keys are counted where they lie."""
-    keys = keyed.groupBy("key").agg(F.min(F.struct("node", "p")).alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("c")).where("hub.node <> top")
-    keys = cut(keys.select("key", "hub", F.least("c", F.lit(FEW + 1)).cast("int").alias("c")))
+    """key, node, p, c, hub, top (the last place of the greatest node) of the keys of a table that several nodes hold; keys are counted where they lie."""
+    keys = keyed.groupBy("key").agg(F.min(F.struct("node", "p")).alias("hub"), F.max(F.struct("node", "p")).alias("top"), F.count(F.lit(1)).alias("c")).where("hub.node <> top.node")
+    keys = cut(keys.select("key", "hub", "top", F.least("c", F.lit(FEW + 1)).cast("int").alias("c")))
     out = cut(keyed.join(keys, "key"))
     drop(keys)
     return out
@@ -289,6 +291,33 @@ def _star(held: DataFrame, after: int = 0) -> DataFrame:
     return held.where("node <> hub.node").select("node", F.col("hub.node").alias("hub"), _match(F.col("p") + after, F.col("hub.p") + after))
 
 
+def _exact(whole: DataFrame, least: int) -> DataFrame:
+    """node, hub, a1, a2, b1, b2, agree: the strings of `least` words of whole (key, node, p, hub, top) as passages, those that meet on a diagonal as one. A hub's own further places of a string are matched with its top."""
+    own = F.col("node") == F.col("hub.node")
+    twice = whole.where(~own | (F.col("p") != F.col("hub.p")))
+    pairs = twice.select(F.when(own, F.col("top.node")).otherwise(F.col("node")).alias("a"), F.col("hub.node").alias("b"), F.when(own, _match(F.col("top.p"), F.col("p"))).otherwise(_match(F.col("p"), F.col("hub.p"))).alias("m"))
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            rows = []
+            for m in arrays(batch.column(2)):
+                p, h = m >> 32, m & ((1 << 32) - 1)
+                order = np.lexsort((p, p - h))
+                p, h = p[order], h[order]
+                first = np.flatnonzero(np.append(True, (np.diff(p - h) != 0) | (np.diff(p) > least)))
+                last = np.append(first[1:], len(p)) - 1
+                rows.append((p[first], p[last] + least, h[first], h[last] + least, p[last] + least - p[first]))
+            n = np.array([len(r[0]) for r in rows], np.int64)
+            owners = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), n) for k in (0, 1)]
+            spans = [np.concatenate([np.empty(0, np.int64), *(r[k] for r in rows)]) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*owners, *spans)], ["node", "hub", "a1", "a2", "b1", "b2", "agree"])
+
+        return work
+
+    # a pair's matches are at most the words of both
+    return map_arrow(pairs.groupBy("a", "b").agg(F.collect_list("m").alias("m")), make, PASSAGE)
+
+
 def _runs(common: DataFrame) -> DataFrame:
     """key, node, p: runs of RUNS common seeds of common (node, keys, places) between which are no other seeds."""
 
@@ -419,6 +448,7 @@ def find(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) -> tup
         return work
 
     found = cut(map_arrow(pairs, make_chains, "node bigint, hub bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint"))
+    exact = cut(_exact(whole, least))
     drop(held, hot_places, common, runs, whole)
     row_of = lambda node, row: nodes.select(F.col("node").alias(node), F.col("row").alias(row))
     placed = cut(found.join(row_of("node", "arow"), "node").join(row_of("hub", "brow"), "hub").select("node", "hub", "arow", "brow", "a1", "a2", "b1", "b2"))
@@ -443,9 +473,9 @@ def find(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) -> tup
         return work
 
     # chains of one passage end in the same words
-    passages = cut(map_arrow(both, align, "node bigint, hub bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint, agree bigint").distinct())
+    passages = cut(map_arrow(both, align, PASSAGE).unionByName(exact).distinct())
     members = cut(every.join(nodes.select("digest", "node"), "digest", "left").select("doc_id", "node", "n"))
-    drop(found, placed, wanted, texts, every, nodes)
+    drop(found, placed, wanted, texts, every, nodes, exact)
     return members, passages, [members, passages]
 
 

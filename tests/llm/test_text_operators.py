@@ -545,6 +545,32 @@ def test_passages_quoted_in_part_by_others(spark, docs, monkeypatch, few, hot):
     assert all(18 <= r.first_word <= 20 and 80 <= r.end_word <= 82 for r in got.values())
 
 
+def test_exact_passages_of_common_seeds_in_every_place(spark, docs, monkeypatch):
+    """Passages of 50 words and a few more, and two words in turn at every place, whose seeds are all common, against brute force on strings of 50 words."""
+    monkeypatch.setattr(passages, "FEW", 3)
+    r, texts = Random(21), []
+    new = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    for n in (50, 50, 51, 51, 52, 53):
+        passage = new(n)
+        parts = [passage[k : k + 9] for k in range(0, n - 8, 3)] * 4
+        # who quotes a part stands before those that hold all of it, and holds no other part
+        texts += [new(12) + c + new(12) for c in [*parts, passage, passage]]
+    texts += [new(20) + ["ab", "cd"] * n + new(20) for n in (100, 130, 160)]
+    holders = {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - 49):
+            holders.setdefault(tuple(w[k : k + 50]), []).append((i, k))
+    want = {}
+    for h in holders.values():
+        for i, k in h if len({i for i, _ in h}) > 1 else ():
+            want.setdefault(i, set()).update(range(k, k + 50))
+    df = spark.createDataFrame(rows([(i, " ".join(w)) for i, w in enumerate(texts)]), docs.schema).coalesce(1)
+    got = {x.doc_id: x for x in passages.repeated(df).collect()}
+    assert set(got) == set(want) and len(want) == 15
+    assert {i: x.n_words for i, x in got.items()} == {i: len(w) for i, w in want.items()}
+    assert {i: (x.first_word, x.end_word, x.n_passages) for i, x in got.items()} == {i: (min(w), max(w) + 1, 1) for i, w in want.items()}
+
+
 def test_passages_with_words_replaced(spark, docs):
     r, texts = Random(12), []
     new = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
