@@ -61,14 +61,14 @@ def rows(df, *columns):
 
 def test_shapes_of_a_document_are_those_of_the_node_table(sides):
     docs, graph = sides
-    got = documents.asked(docs, "schema string, shape string", lambda g: documents.shapes(g, g.words).items())
+    got = documents.asked(docs, "schema string, shape string", lambda g: documents.shapes(g, g.objects).items())
     want = rows(shapes.shapes(graph), "file", "side", "schema", "shape")
     assert rows(got, "file", "side", "schema", "shape") == want and len(want) > 2000
 
 
 def test_obligations_of_a_document_are_those_of_the_node_table(sides):
     docs, graph = sides
-    got = documents.asked(docs, "schema string, name string", lambda g: [(p, x) for p, names in documents.obligations(g).items() if p in g.words for x in names])
+    got = documents.asked(docs, "schema string, name string", lambda g: [(p, x) for p, names in documents.obligations(g).items() if p in g.objects for x in names])
     want = rows(obligations.obligations(graph), "file", "side", "schema", "name")
     assert rows(got, "file", "side", "schema", "name") == want and len(want) > 300
 
