@@ -123,3 +123,17 @@ def test_a_circle_is_followed_once(spark, monkeypatch):
     edges = [(k, (k + 1) % 4) for k in range(4)] + [(100 + k, k % 4) for k in range(40)]
     assert graph.reached(spark.createDataFrame(edges, "src int, dst int")).count() == 4 * 4 + 40 * 5
     assert max(x.count() for x in made) <= 85
+
+
+def test_circles_apart_are_found_in_one_round_and_roots_are_not_followed(spark):
+    r = Random(3)
+    pairs = [(100 * k + i, 100 * k + (i + 1) % 7) for k in range(10) for i in range(7)]
+    pairs += [(100 * k + r.randrange(7), 100 * (k + 1) + r.randrange(7)) for k in range(0, 6, 3)] + [(5000 + i, 100 * r.randrange(10) + r.randrange(7)) for i in range(20)] + [(7, 7), (6001, 3)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    members = {(x.node, x.rep) for x in graph.circles(edges, most=1).collect()}
+    assert {(100 * k + i, 100 * k) for k in range(10) if k not in (1, 4) for i in range(7)} <= members
+    want = {(a, a) for a, _ in pairs}
+    while more := {(a, d) for a, b in want for c, d in pairs if b == c} - want:
+        want |= more
+    found = graph.reached(edges)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
